@@ -249,21 +249,22 @@ SQL_VIEWS: dict[str, str] = {
                   from document d))""",
     "word": f"""
       select *, {tok('text')} as w, {tok('lower(text)')} as lw from sentence""",
-    "scored": r"""
+    "measured": r"""
       select *, 3e-1 * exp(-sentence_id / 10e0) + 3e-1 * least(kw / 5e0, 1e0)
                 + 2e-1 * least(nums / 20e0, 1e0)
-                + 2e-1 * case item_type when 'item7' then 1e0 when 'item1' then 7e-1 else 5e-1 end as relevance_kmnz,
-             4e-1 * abs(nw - firm_len) / (firm_len + 1) + 3e-1 * abs(div - firm_div)
-                + 3e-1 * ((nums + caps) / (nw + 1e0)) as novelty_cln
+                + 2e-1 * case item_type when 'item7' then 1e0 when 'item1' then 7e-1 else 5e-1 end as relevance_kmnz
       from (select *, len(w) as nw, len(list_distinct(w)) / (len(w) + 1e0) as div,
                    len(list_filter(w, lambda x: regexp_matches(x, '""" + DIGIT + r"""'))) as nums,
                    len(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}') and length(x) > 1)) as caps,
                    len(list_intersect(list_distinct(lw), ['revenue','revenues','sales','income','earnings','profit',
                      'loss','cash','debt','assets','liabilities','equity','segment','segments','operations','margin',
                      'ebitda','goodwill','intangibles','impairment','acquisition'])) as kw
-            from word)
-      join (select cik, avg(sentence_length) as firm_len,
-                   avg(len(list_distinct(w)) / (len(w) + 1e0)) as firm_div from word group by cik) using (cik)""",
+            from word)""",
+    "scored": """
+      select *, 4e-1 * abs(nw - firm_len) / (firm_len + 1) + 3e-1 * abs(div - firm_div)
+                + 3e-1 * ((nums + caps) / (nw + 1e0)) as novelty_cln
+      from measured
+      join (select cik, avg(sentence_length) as firm_len, avg(div) as firm_div from measured group by cik) using (cik)""",
     "sentence_embedding": """
       select vec_id, printf('%010d-%02d-%06d', 1000 + i % 20, 1 + i % 24, i) as accession_number,
              vec_id % 5 as sentence_id,

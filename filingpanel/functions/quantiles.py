@@ -37,10 +37,40 @@ def exact_quantiles(
         )
         for i, n in enumerate(names)
     ])
-    sketch = sketch.select(*keys, bands.alias("_bands"))
+    found = _select(x, sketch.select(*keys, bands.alias("_bands")), keys)
+    found = found.withColumn("_r", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))
+    out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, F.col("_r"))).alias(n) for n in names])
+    return out.drop("_all")
+
+
+def sparse_quantile(nonzero: DataFrame, rows: DataFrame, by: str, value: str, q: float, name: str) -> DataFrame:
+    """Quantile per ``by`` over all ``rows``, where only positive values are stored.
+
+    The zeros are never made: they shift the wanted rank by their number.  Keys
+    whose rank falls among the zeros need no second look at the data.
+    """
+    grid = 400
+    x = nonzero.select(by, F.col(value).cast("double").alias("_x"))
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    sketch = x.groupBy(by).agg(
+        F.count("*").alias("_n"),
+        F.percentile_approx("_x", F.array(*[F.lit(i / grid) for i in range(grid + 1)]), ACCURACY).alias("_p"),
+    ).withColumn("_pos", (total - 1) * F.lit(float(q)) - (total - F.col("_n")))
+    share = F.col("_pos") / F.col("_n")
+    at = [F.greatest(F.lit(0), F.least(F.lit(grid), i)).cast("int")
+          for i in (F.floor((share - _PAD) * grid), F.ceil((share + _PAD) * grid))]
+    band = F.struct(F.lit("q").alias("q"), F.col("_pos").alias("pos"),
+                    F.get("_p", at[0]).alias("lo"), F.get("_p", at[1]).alias("hi"))
+    found = _select(x, sketch.where(F.col("_pos") > -1).select(by, F.array(band).alias("_bands")), [by])
+    a, z = F.coalesce("_a", F.lit(0.0)), F.coalesce("_z", F.lit(0.0))
+    found = found.select(by, (a + (z - a) * (F.col("_pos") - F.floor("_pos"))).alias(name))
+    return sketch.select(by).join(found, by, "left").fillna(0.0, [name])
 
-    near = x.join(sketch, keys)
-    # One row per (group, quantile, bucket): the rows below the band collapse into a count.
+
+def _select(x: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+    """Values at ranks floor(pos) and ceil(pos) of each (key, quantile), as ``_a`` and ``_z``."""
+    near = x.join(bands, keys)
+    # Per (key, quantile) the rows below the band collapse into one count.
     hit = near.select(*keys, "_x", F.explode("_bands").alias("_b")).where(F.col("_x") <= F.col("_b.hi"))
     inside = F.col("_x") >= F.col("_b.lo")
     cells = hit.groupBy(
@@ -48,15 +78,12 @@ def exact_quantiles(
     ).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys, "_q").orderBy(F.asc_nulls_first("_v"))
     ranked = cells.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    low, high = F.floor("_pos"), F.ceil("_pos")
 
     def covers(i: Column) -> Column:
         return (F.col("_end") - F.col("_c") <= i) & (i < F.col("_end"))
 
-    picked = ranked.groupBy(*keys, "_q").agg(
+    return ranked.groupBy(*keys, "_q").agg(
         F.first("_pos").alias("_pos"),
-        F.max(F.when(covers(low), F.col("_v"))).alias("_a"),
-        F.max(F.when(covers(high), F.col("_v"))).alias("_z"),
-    ).withColumn("_r", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))
-    out = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, F.col("_r"))).alias(n) for n in names])
-    return out.drop("_all")
+        F.max(F.when(covers(F.floor("_pos")), F.col("_v"))).alias("_a"),
+        F.max(F.when(covers(F.ceil("_pos")), F.col("_v"))).alias("_z"),
+    )
