@@ -130,38 +130,38 @@ def replica_similarity(spark, d):
 
 
 @query("stable_features", with_views(f"""with {_MODELS_SQL}
-  select 64 as "M", 4 as k, neuron as neuron_idx, round(s, 6) as mean_similarity from avg_sim where s >= 34e-2"""))
+  select 64 as "M", 4 as k, neuron as neuron_idx, round(s, 6) as mean_similarity from avg_sim where s >= 30e-2"""))
 def stable_features(spark, d):
-    return _round(sb.stable_features(sb.replica_similarity(_models(spark, d)), 0.34), "mean_similarity")
+    return _round(sb.stable_features(sb.replica_similarity(_models(spark, d)), 0.30), "mean_similarity")
 
 
 @query("stable_features_anchor", with_views(f"""with {_MODELS_SQL}
   select 64 as "M", 4 as k, neuron as neuron_idx, round(avg(s), 6) as mean_similarity from sim where i = 0
-  group by neuron having avg(s) >= 34e-2"""))
+  group by neuron having avg(s) >= 30e-2"""))
 def stable_features_anchor(spark, d):
-    return _round(sb.stable_features(sb.replica_similarity(_models(spark, d)), 0.34, anchor=0), "mean_similarity")
+    return _round(sb.stable_features(sb.replica_similarity(_models(spark, d)), 0.30, anchor=0), "mean_similarity")
 
 
 @query("stability_summary", with_views(f"""with {_MODELS_SQL}
   select 64 as "M", 4 as k, 5::bigint as n_replicas, count(*) as n_features_total,
-         count(*) filter (s >= 34e-2) as n_stable, round(100e0 * count(*) filter (s >= 34e-2) / count(*), 6) as pct_stable,
+         count(*) filter (s >= 30e-2) as n_stable, round(100e0 * count(*) filter (s >= 30e-2) / count(*), 6) as pct_stable,
          round(avg(s), 6) as similarity_mean, round(quantile_cont(s, 5e-1), 6) as similarity_median,
-         round(stddev_pop(s), 6) as similarity_std, 34e-2 as threshold,
-         case when count(*) filter (s >= 34e-2) < 200 then 'few: lower the threshold'
-              when count(*) filter (s >= 34e-2) > 2000 then 'many: raise the threshold' else 'in range' end as advice
+         round(stddev_pop(s), 6) as similarity_std, 30e-2 as threshold,
+         case when count(*) filter (s >= 30e-2) < 200 then 'few: lower the threshold'
+              when count(*) filter (s >= 30e-2) > 2000 then 'many: raise the threshold' else 'in range' end as advice
   from avg_sim"""))
 def stability_summary(spark, d):
     m = _models(spark, d)
-    out = sb.stability_summary(m, sb.replica_similarity(m), 0.34)
+    out = sb.stability_summary(m, sb.replica_similarity(m), 0.30)
     return _round(out, "pct_stable", "similarity_mean", "similarity_median", "similarity_std")
 
 
 @query("feature_metadata", with_views(f"""with {_MODELS_SQL}
   select 'h_M64_k4_n' || neuron as feature_name, 64 as "M", 4 as k, neuron as neuron_idx,
          round(s, 6) as mean_similarity, row_number() over (order by neuron) - 1 as global_feature_idx
-  from avg_sim where s >= 34e-2"""))
+  from avg_sim where s >= 30e-2"""))
 def feature_metadata(spark, d):
-    stable = sb.stable_features(sb.replica_similarity(_models(spark, d)), 0.34)
+    stable = sb.stable_features(sb.replica_similarity(_models(spark, d)), 0.30)
     return _round(cp.feature_metadata(stable), "mean_similarity")
 
 

@@ -314,7 +314,7 @@ SQL_VIEWS: dict[str, str] = {
       select 'T' || user_id, user_id, user_id * 10 + 1, mid + 1, null from h""",
     "fundamental": """
       select o_custkey as gvkey, cast(o_orderdate as date) as datadate, o_orderkey as record_id,
-             o_totalprice as at,
+             o_totalprice as "at",
              case when o_orderkey % 7 <> 0 then o_totalprice * 5e-1 end as lt,
              case when o_orderkey % 7 <> 1 then o_totalprice * 4e-1 end as ceq,
              case when o_orderkey % 7 <> 2 then o_totalprice * 45e-2 end as seq,

@@ -13,6 +13,19 @@ ACCURACY = 10_000
 _PAD = 3.0 / ACCURACY
 
 
+def _numbers(x: DataFrame) -> DataFrame:
+    return x.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+
+
+# A group of at most ACCURACY rows is taken whole: there a bracket would be off by whole ranks.
+def _lower(bound: Column) -> Column:
+    return F.when(F.col("_n") <= ACCURACY, F.lit(float("-inf"))).otherwise(bound)
+
+
+def _upper(bound: Column) -> Column:
+    return F.when(F.col("_n") <= ACCURACY, F.lit(float("inf"))).otherwise(bound)
+
+
 def exact_quantiles(
     df: DataFrame, value: str | Column, qs: dict[str, float], by: list[str] | None = None
 ) -> DataFrame:
@@ -21,7 +34,7 @@ def exact_quantiles(
     keys = by or ["_all"]
     col = F.col(value) if isinstance(value, str) else value
     src = df if by else df.withColumn("_all", F.lit(0))
-    x = src.select(*keys, col.cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    x = _numbers(src.select(*keys, col.cast("double").alias("_x")))
 
     names = list(qs)
     probes = [F.lit(max(0.0, qs[n] - _PAD)) for n in names] + [F.lit(min(1.0, qs[n] + _PAD)) for n in names]
@@ -32,8 +45,8 @@ def exact_quantiles(
         F.struct(
             F.lit(n).alias("q"),
             ((F.col("_n") - 1) * F.lit(float(qs[n]))).alias("pos"),
-            F.col("_p")[i].alias("lo"),
-            F.col("_p")[i + len(names)].alias("hi"),
+            _lower(F.col("_p")[i]).alias("lo"),
+            _upper(F.col("_p")[i + len(names)]).alias("hi"),
         )
         for i, n in enumerate(names)
     ])
@@ -50,7 +63,7 @@ def sparse_quantile(nonzero: DataFrame, rows: DataFrame, by: str, value: str, q:
     whose rank falls among the zeros need no second look at the data.
     """
     grid = 400
-    x = nonzero.select(by, F.col(value).cast("double").alias("_x"))
+    x = _numbers(nonzero.select(by, F.col(value).cast("double").alias("_x")))
     total = rows.agg(F.count("*").alias("n")).scalar()
     sketch = x.groupBy(by).agg(
         F.count("*").alias("_n"),
@@ -60,7 +73,7 @@ def sparse_quantile(nonzero: DataFrame, rows: DataFrame, by: str, value: str, q:
     at = [F.greatest(F.lit(0), F.least(F.lit(grid), i)).cast("int")
           for i in (F.floor((share - _PAD) * grid), F.ceil((share + _PAD) * grid))]
     band = F.struct(F.lit("q").alias("q"), F.col("_pos").alias("pos"),
-                    F.get("_p", at[0]).alias("lo"), F.get("_p", at[1]).alias("hi"))
+                    _lower(F.get("_p", at[0])).alias("lo"), _upper(F.get("_p", at[1])).alias("hi"))
     found = _select(x, sketch.where(F.col("_pos") > -1).select(by, F.array(band).alias("_bands")), [by])
     a, z = F.coalesce("_a", F.lit(0.0)), F.coalesce("_z", F.lit(0.0))
     found = found.select(by, (a + (z - a) * (F.col("_pos") - F.floor("_pos"))).alias(name))

@@ -33,9 +33,13 @@ def with_cik(df: DataFrame, accession: str = "accession_number") -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the first by ``order``.  An aggregate, so each map task keeps one row per key."""
+    """One row per key: the first by ``order``, ties by the other columns.
+
+    An aggregate, so each map task keeps one row per key.
+    """
     rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    ranked = order + [c for c in rest if c not in order]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*ranked)).alias("_r"))
     return first.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
