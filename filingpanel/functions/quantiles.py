@@ -27,9 +27,13 @@ def _upper(bound: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str | Column, qs: dict[str, float], by: list[str] | None = None
+    df: DataFrame, value: str | Column, qs: dict[str, float], by: list[str] | None = None, few_groups: bool = False
 ) -> DataFrame:
-    """One row per group with a column per entry of ``qs``; null values are skipped."""
+    """One row per group with a column per entry of ``qs``; null values are skipped.
+
+    ``few_groups`` promises a fixed number of groups (e.g. column names), so the
+    bracket table may be broadcast; without groups it is a single row.
+    """
     by = by or []
     keys = by or ["_all"]
     col = F.col(value) if isinstance(value, str) else value
@@ -50,7 +54,8 @@ def exact_quantiles(
         )
         for i, n in enumerate(names)
     ])
-    found = _select(x, sketch.select(*keys, bands.alias("_bands")), keys)
+    table = sketch.select(*keys, bands.alias("_bands"))
+    found = _select(x, F.broadcast(table) if few_groups or not by else table, keys)
     found = found.withColumn("_r", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))
     out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, F.col("_r"))).alias(n) for n in names])
     return out.drop("_all")
@@ -74,7 +79,8 @@ def sparse_quantile(nonzero: DataFrame, rows: DataFrame, by: str, value: str, q:
           for i in (F.floor((share - _PAD) * grid), F.ceil((share + _PAD) * grid))]
     band = F.struct(F.lit("q").alias("q"), F.col("_pos").alias("pos"),
                     _lower(F.get("_p", at[0])).alias("lo"), _upper(F.get("_p", at[1])).alias("hi"))
-    found = _select(x, sketch.where(F.col("_pos") > -1).select(by, F.array(band).alias("_bands")), [by])
+    table = sketch.where(F.col("_pos") > -1).select(by, F.array(band).alias("_bands"))
+    found = _select(x, F.broadcast(table), [by])  # one row per feature of the model
     a, z = F.coalesce("_a", F.lit(0.0)), F.coalesce("_z", F.lit(0.0))
     found = found.select(by, (a + (z - a) * (F.col("_pos") - F.floor("_pos"))).alias(name))
     return sketch.select(by).join(found, by, "left").fillna(0.0, [name])

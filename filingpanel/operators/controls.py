@@ -115,7 +115,7 @@ def winsorize(
     """Clip to the global quantiles; two numbers per column are fitted first."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols])
     long = df.select(F.inline(pairs))
-    bounds = {r["name"]: r for r in exact_quantiles(long, "x", {"lo": low, "hi": high}, ["name"]).collect()}
+    bounds = {r["name"]: r for r in exact_quantiles(long, "x", {"lo": low, "hi": high}, ["name"], few_groups=True).collect()}
     for c in cols:
         if c in bounds:
             x = F.greatest(F.least(F.col(c), F.lit(bounds[c]["hi"])), F.lit(bounds[c]["lo"]))

@@ -61,7 +61,8 @@ def document_features(
     """
     thr = thresholds if thresholds is not None else feature_thresholds(long, sents, q)
     counts = sents.groupBy(*DOC_KEY).agg(F.count("*").alias("n_sentences"))
-    sums = long.join(thr, "feature_id").groupBy(*DOC_KEY, "feature_id").agg(
+    # Thresholds: one row per feature of the model.
+    sums = long.join(F.broadcast(thr), "feature_id").groupBy(*DOC_KEY, "feature_id").agg(
         F.sum("value").alias("_sum"), F.count_if(F.col("value") > F.col("threshold")).alias("_above")
     )
     return sums.join(counts, DOC_KEY).select(
