@@ -1 +1,116 @@
-"""Registered queries."""
+"""Registered queries: whole compositions, training and streaming."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.durable import ensure_checkpoint_dir
+from ..operators import concepts as cp, stability as sb, training as tr
+from ..plans import concept_panel as pc, event_panel as pe, text_scores as pt
+from ..streaming.loss_monitor import loss_plateau_stream
+from . import views as v
+from .registry import oracle_sql, query
+from .views import with_views
+
+_KEY = ["accession_number", "sentence_id", "item_type"]
+
+
+def _round(df, *cols, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else c for c in df.columns])
+
+
+@query("filing_scores", with_views("""
+  select accession_number, item_type, year, any_value(cik) as cik, round(avg(novelty_cln), 6) as novelty_cln_mean,
+         round(max(novelty_cln), 6) as novelty_cln_max,
+         round(sum(novelty_cln * relevance_kmnz) / greatest(sum(relevance_kmnz), 1e-8), 6) as novelty_cln_weighted,
+         round(avg(relevance_kmnz), 6) as relevance_kmnz_mean, count(*) as n_sentences
+  from scored group by accession_number, item_type, year"""))
+def filing_scores(spark, d):
+    out = pt.filing_scores(v.document(spark, d))
+    return _round(out, "novelty_cln_mean", "novelty_cln_max", "novelty_cln_weighted", "relevance_kmnz_mean")
+
+
+_COLS = ", ".join(
+    f"round(coalesce(sum(value) filter (feature_id = {f}) * 1e0 / any_value(n), 0), 6) as mean_{f}" for f in (0, 3, 7)
+) + ", " + ", ".join(
+    f"round(count(*) filter (feature_id = {f} and value > threshold) * 1e0 / any_value(n), 6) as freq_{f}" for f in (0, 3, 7))
+
+
+@query("concept_panel", with_views(f"""
+  with thr as (select f.feature_id, quantile_cont(coalesce(a.value, 0e0), 9e-1) as threshold
+               from sentence_panel s cross join (select distinct feature_id from activation) f
+               left join activation a using (accession_number, sentence_id, item_type, feature_id) group by 1),
+       docs as (select accession_number, item_type, count(*) as n, arg_min(year, sentence_id) as year,
+                       round(avg(novelty_cln), 6) as novelty_cln_mean from sentence_panel group by 1, 2)
+  select accession_number, item_type, any_value(n) as n_sentences, any_value(year) as year,
+         any_value(novelty_cln_mean) as novelty_cln_mean, {_COLS}
+  from docs left join (select * from activation join thr using (feature_id)) using (accession_number, item_type)
+  group by accession_number, item_type"""))
+def concept_panel(spark, d):
+    e = v.sentence_embedding(spark, d).select(*_KEY, "embedding")
+    sents = v.sentence_panel(spark, d).join(e, _KEY)
+    p = pc.concept_panel(sents, cp.KSparseEncoderModel(v.encoder(), v.ENCODER_K), [0, 3, 7])
+    cols = [f"{k}_{f}" for k in ("mean", "freq") for f in (0, 3, 7)]
+    return _round(p.select("accession_number", "item_type", "n_sentences", "year", "novelty_cln_mean", *cols),
+                  "novelty_cln_mean", *cols)
+
+
+@query("concept_selection")
+def concept_selection(spark, d):
+    """Lasso of the document novelty on the concept columns."""
+    e = v.sentence_embedding(spark, d).select(*_KEY, "embedding")
+    sents = v.sentence_panel(spark, d).join(e, _KEY)
+    p = pc.concept_panel(sents, cp.KSparseEncoderModel(v.encoder(), v.ENCODER_K), list(range(v.ENCODER_M)))
+    return pc.select_concepts(p, ["novelty_cln_mean"], key=["accession_number", "item_type"], min_rows=20)
+
+
+@query("tested_coefficients")
+def tested_coefficients(spark, d):
+    return pe.tested_coefficients(v.panel(spark, d), "y", ["x1"], ["x2", "x3"])
+
+
+@query("outcome_panel", with_views("""
+  with l as (select f.accession_number, f.ticker, f.filing_date, arg_min(l.permno, start_date) as permno
+             from filing f join link l using (ticker) where start_date <= filing_date and filing_date <= end_date group by all)
+  select l.accession_number, l.ticker, l.filing_date, l.permno,
+         round(sum(abret) filter (r.date - l.filing_date between -1 and 1), 6) as car_minus1_plus1,
+         round(sum(abret) filter (r.date - l.filing_date between 2 and 30), 6) as drift_30d
+  from l left join abnormal r on r.permno = l.permno and r.date - l.filing_date between -30 and 90
+  group by 1, 2, 3, 4"""))
+def outcome_panel(spark, d):
+    out = pe.outcome_panel(v.filing(spark, d), v.link(spark, d), v.daily(spark, d), v.market(spark, d))
+    return _round(out.select("accession_number", "ticker", "filing_date", "permno", "car_minus1_plus1", "drift_30d"),
+                  "car_minus1_plus1", "drift_30d")
+
+
+@query("encoder_training")
+def encoder_training(spark, d):
+    """Loss per epoch of one encoder fitted on all embeddings."""
+    e = v.sentence_embedding(spark, d)
+    model = tr.KSparseEncoder(m=64, k=8, lr=1e-2, epochs=4, batch=64, shards=2).fit(e, _KEY)
+    return model.loss_log
+
+
+@query("encoder_ensemble")
+def encoder_ensemble(spark, d):
+    """Stability of the features of a small ensemble trained on filing bootstraps."""
+    e = v.sentence_embedding(spark, d)
+    models, _ = tr.fit_ensemble(e, _KEY, [32], [4], 3, lr=1e-2, epochs=2, batch=64, shards=2)
+    return sb.stability_summary(models, sb.replica_similarity(models), 0.3)
+
+
+@query("loss_plateau_stream", oracle_sql()["loss_plateau"])
+def loss_stream(spark, d):
+    """The plateau check as a stream over the events folder, run to the end of the data."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/loss-{uuid.uuid4().hex}"
+    events = v.table(spark, d, "events")
+    log = (
+        spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        .select(F.col("user_id").alias("run"), "ts", "event_id", F.col("value").alias("loss"))
+    )
+    loss_plateau_stream(log, f"{place}/out", f"{place}/state", ["run"], ["ts", "event_id"], available_now=True
+                        ).awaitTermination()
+    return _round(spark.read.parquet(f"{place}/out/status"), "improvement", "last10_mean", "last10_std")

@@ -37,9 +37,16 @@ def length_by_item(spark, d):
     return _round(qa.length_by_item(v.document(spark, d)), "mean", "median")
 
 
-@query("schema_check", "select * from (values ('text', 'schema', false, 'error', 'ticker')) t(phase, \"check\", passed, severity, detail) where exists (select 1 from documents)")
+@query("schema_check", with_views("""
+  select 'text' as phase, 'schema' as "check", false as passed, 'error' as severity, 'ticker' as detail
+  union all
+  select 'text', 'unique keys', count(*) = count(distinct accession_number || item_type), 'error',
+         cast(count(*) - count(distinct accession_number || item_type) as varchar) from document"""))
 def schema_check(spark, d):
-    return qa.check_schema(v.document(spark, d), ["accession_number", "cik", "ticker", "text"], "text")
+    doc = v.document(spark, d)
+    return qa.check_schema(doc, ["accession_number", "cik", "ticker", "text"], "text").unionByName(
+        qa.check_from(qa.check_unique(doc, ["accession_number", "item_type"]), "text", "unique keys",
+                      F.col("n_duplicates") == 0, F.col("n_duplicates")))
 
 
 @query("null_counts", with_views(" union all ".join(

@@ -18,13 +18,13 @@ _X = ["x1", "x2", "x3"]
 
 
 @query("moments", with_views("""
-  select year, i, j, round(sum(a[i + 1] * a[j + 1]) / 7, 4) as value
+  select year, i, j, round(sum(a[i + 1] * a[j + 1]) / 11, 4) as value
   from (select year, [1e0, x1, x2, x3, y] as a from panel),
        (select cast(range as int) as i from range(5)), (select cast(range as int) as j from range(5))
   group by all"""))
 def moments(spark, d):
     m = mo.moments(v.panel(spark, d), _X, "y", ["year"])
-    return _round(m.select("year", "i", F.posexplode("row").alias("j", "value")).withColumn("value", F.col("value") / 7),
+    return _round(m.select("year", "i", F.posexplode("row").alias("j", "value")).withColumn("value", F.col("value") / 11),
                   "value", digits=4)
 
 

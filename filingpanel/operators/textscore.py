@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
@@ -109,33 +109,41 @@ def firm_text_baselines(df: DataFrame, length_unit: str = "chars") -> DataFrame:
     )
 
 
-def novelty_proxy(df: DataFrame, length_unit: str = "chars") -> DataFrame:
-    """Distance of a sentence from its firm's text baseline plus specificity; rows without cik drop out.
-
-    Only the per-firm table is aggregated; the join with it is left to adaptive
-    execution, which broadcasts it if measured small and splits a hot firm if not.
-    """
-    base = firm_text_baselines(df, length_unit)
-    counted = token_counts(df).drop("n_keywords")
+def novelty_score() -> Column:
+    """Novelty from the token counters and the firm baselines."""
     n = F.col("n_words")
-    score = (
+    return (
         0.4 * F.abs(n - F.col("firm_length")) / (F.col("firm_length") + 1)
         + 0.3 * F.abs(F.col("diversity") - F.col("firm_diversity"))
         + 0.3 * ((F.col("n_numeric") + F.col("n_capitalised")) / (n + 1))
     )
-    return counted.join(base, "cik").withColumn("novelty_cln", score).select(*df.columns, "novelty_cln")
 
 
-def relevance_proxy(df: DataFrame) -> DataFrame:
-    """Position, finance words, numbers and item weight; no shuffle."""
+def relevance_score() -> Column:
+    """Relevance from position, token counters and item."""
     item = F.when(F.col("item_type") == "item7", 1.0).when(F.col("item_type") == "item1", 0.7).otherwise(0.5)
-    score = (
+    return (
         0.3 * F.exp(-F.col("sentence_id") / 10)
         + 0.3 * F.least(F.col("n_keywords") / 5.0, F.lit(1.0))
         + 0.2 * F.least(F.col("n_numeric") / 20.0, F.lit(1.0))
         + 0.2 * item
     )
-    return token_counts(df).withColumn("relevance_kmnz", score).select(*df.columns, "relevance_kmnz")
+
+
+def novelty_proxy(df: DataFrame, length_unit: str = "chars") -> DataFrame:
+    """Distance of a sentence from its firm's text baseline plus specificity; rows without cik drop out.
+
+    Only the per-firm table is aggregated; the join with it is left to adaptive
+    execution, which broadcasts it if measured small and splits a hot firm if not.
+    """
+    base = firm_text_baselines(df, length_unit)
+    counted = token_counts(df).drop("n_keywords")
+    return counted.join(base, "cik").withColumn("novelty_cln", novelty_score()).select(*df.columns, "novelty_cln")
+
+
+def relevance_proxy(df: DataFrame) -> DataFrame:
+    """Position, finance words, numbers and item weight; no shuffle."""
+    return token_counts(df).withColumn("relevance_kmnz", relevance_score()).select(*df.columns, "relevance_kmnz")
 
 
 def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> DataFrame:
