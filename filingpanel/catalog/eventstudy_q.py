@@ -307,7 +307,7 @@ def assemble_controls(spark, d):
          {', '.join(f'round(case when {c} is not null then greatest(least({c}, hi_{c}), lo_{c}) end, 5) as {c}' for c in _C[1:])}
   from controls, b"""))
 def winsorize(spark, d):
-    return _round(ct.winsorize(_controls(spark, d)), *_C, digits=5)
+    return _round(ct.winsorize(_controls(spark, d), materialize=True), *_C, digits=5)
 
 
 @query("control_coverage", with_views(f"with {_CONTROLS}" + " union all ".join(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..operators import interpret as ip
 from . import views as v
 from .registry import query
@@ -42,13 +43,13 @@ _EX_OUT = f"select {_K}, feature_id, round(value, 6) as value, cast(example as i
 
 @query("high_examples", with_views(f"with {_EXAMPLES} {_EX_OUT} high"))
 def high_examples(spark, d):
-    out = ip.high_examples(v.activation(spark, d), _sents(spark, d), _FEATURES)
+    out = ip.high_examples(durable(v.activation(spark, d)), _sents(spark, d), _FEATURES)
     return _round(out.select(*_KEY, "feature_id", "value", "example", "text"), "value")
 
 
 @query("low_examples", with_views(f"with {_EXAMPLES} {_EX_OUT} low"))
 def low_examples(spark, d):
-    out = ip.low_examples(v.activation(spark, d), _sents(spark, d), _FEATURES)
+    out = ip.low_examples(durable(v.activation(spark, d)), _sents(spark, d), _FEATURES)
     return _round(out.select(*_KEY, "feature_id", "value", "example", "text"), "value")
 
 
@@ -62,7 +63,7 @@ def low_examples(spark, d):
          || 'Name the pattern shared by the first group and absent from the second in one or two sentences.' as prompt
   from h join l using (feature_id)"""))
 def interpretation_prompts(spark, d):
-    a, s = v.activation(spark, d), _sents(spark, d)
+    a, s = durable(v.activation(spark, d)), _sents(spark, d)
     return ip.interpretation_prompts(ip.high_examples(a, s, _FEATURES), ip.low_examples(a, s, _FEATURES))
 
 

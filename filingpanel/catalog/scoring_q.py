@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..operators import textscore as ts
 from . import views as v
 from .registry import query
@@ -114,7 +115,7 @@ _SURPRISAL = """
 
 def _surprisal_sql(value):
     return with_views(f"""with {_SURPRISAL}
-  select accession_number, sentence_id, item_type, cik, year, count(distinct token) as n_distinct_tokens,
+  select accession_number, sentence_id, item_type, cik, year, count(*) as n_tokens,
          round({value}, 6) as novelty_surprisal
   from tokens join info using (cik, token, year) group by all""")
 
@@ -194,6 +195,6 @@ def _describe_sql(col):
 @query("describe_scores", with_views(
     _describe_sql("novelty_cln") + " union all " + _describe_sql("relevance_kmnz")))
 def describe_scores(spark, d):
-    s = v.scored(spark, d).select("novelty_cln", "relevance_kmnz")
+    s = durable(v.scored(spark, d).select("novelty_cln", "relevance_kmnz"))  # several passes read the scores
     out = ts.describe_score(s, "novelty_cln").unionByName(ts.describe_score(s, "relevance_kmnz"))
     return _round(out, "mean", "std", "min", "max", "q25", "q50", "q75")

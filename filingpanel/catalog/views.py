@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import concepts, prepare, textscore
+from ..sources.store import spread
 
 ENCODER_DIM, ENCODER_M, ENCODER_K = 64, 16, 4
 
@@ -28,7 +29,7 @@ def document(spark, d):
     raw = F.regexp_extract("source", r"(\d+)", 1).cast("long") + 1000
     year = (F.lit(2001) + F.col("doc_id") % 24).cast("int")
     return (
-        table(spark, d, "documents")
+        spread(table(spark, d, "documents"), "doc_id")
         .withColumn("year", year)
         .select(
             "doc_id",
@@ -66,7 +67,7 @@ def scored(spark, d):
 
 def sentence_embedding(spark, d):
     idx = F.floor(F.col("vec_id") / 5)
-    return table(spark, d, "embeddings").withColumn("_i", idx).select(
+    return spread(table(spark, d, "embeddings"), "vec_id").withColumn("_i", idx).select(
         "vec_id",
         F.format_string("%010d-%02d-%06d", 1000 + F.col("_i") % 20, 1 + F.col("_i") % 24, F.col("_i"))
         .alias("accession_number"),
@@ -191,7 +192,7 @@ def monthly(spark, d):
 
 def panel(spark, d):
     """Regression panel: one row per order line."""
-    return table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select(
         F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey").alias("cik"),
         F.year("l_shipdate").alias("year"), F.to_date("l_shipdate").alias("filing_date"),
         F.col("l_discount").alias("y"), F.col("l_quantity").alias("x1"),

@@ -55,7 +55,11 @@ def exact_quantiles(
         for i, n in enumerate(names)
     ])
     table = sketch.select(*keys, bands.alias("_bands"))
-    found = _select(x, F.broadcast(table) if few_groups or not by else table, keys)
+    if by:
+        near = x.join(F.broadcast(table) if few_groups else table, keys)
+    else:
+        near = x.withColumn("_bands", table.select("_bands").scalar())
+    found = _select(near, keys)
     found = found.withColumn("_r", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))
     out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, F.col("_r"))).alias(n) for n in names])
     return out.drop("_all")
@@ -80,15 +84,14 @@ def sparse_quantile(nonzero: DataFrame, rows: DataFrame, by: str, value: str, q:
     band = F.struct(F.lit("q").alias("q"), F.col("_pos").alias("pos"),
                     _lower(F.get("_p", at[0])).alias("lo"), _upper(F.get("_p", at[1])).alias("hi"))
     table = sketch.where(F.col("_pos") > -1).select(by, F.array(band).alias("_bands"))
-    found = _select(x, F.broadcast(table), [by])  # one row per feature of the model
+    found = _select(x.join(F.broadcast(table), by), [by])  # one row per feature of the model
     a, z = F.coalesce("_a", F.lit(0.0)), F.coalesce("_z", F.lit(0.0))
     found = found.select(by, (a + (z - a) * (F.col("_pos") - F.floor("_pos"))).alias(name))
     return sketch.select(by).join(found, by, "left").fillna(0.0, [name])
 
 
-def _select(x: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+def _select(near: DataFrame, keys: list[str]) -> DataFrame:
     """Values at ranks floor(pos) and ceil(pos) of each (key, quantile), as ``_a`` and ``_z``."""
-    near = x.join(bands, keys)
     # Per (key, quantile) the rows below the band collapse into one count.
     hit = near.select(*keys, "_x", F.explode("_bands").alias("_b")).where(F.col("_x") <= F.col("_b.hi"))
     inside = F.col("_x") >= F.col("_b.lo")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.durable import durable
 from ..functions.quantiles import exact_quantiles
 from .docpanel import CONTROLS
 
@@ -110,9 +111,14 @@ def assemble_controls(
 
 
 def winsorize(
-    df: DataFrame, cols: Sequence[str] = WINSORIZED, low: float = 0.01, high: float = 0.99
+    df: DataFrame, cols: Sequence[str] = WINSORIZED, low: float = 0.01, high: float = 0.99, materialize: bool = False
 ) -> DataFrame:
-    """Clip to the global quantiles; two numbers per column are fitted first."""
+    """Clip to the global quantiles; two numbers per column are fitted first.
+
+    The table is read three times; ``materialize`` writes it to the checkpoint
+    folder first, for inputs that are costly to compute.
+    """
+    df = durable(df) if materialize else df
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols])
     long = df.select(F.inline(pairs))
     bounds = {r["name"]: r for r in exact_quantiles(long, "x", {"lo": low, "hi": high}, ["name"], few_groups=True).collect()}

@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .concepts import matrix
+
 _FLUSH_BYTES = 256 << 20  # partial matrices held per task before they are passed on
 MAX_COLLECT_BYTES = 1 << 30  # all matrices of a fit on the driver
 
@@ -60,6 +62,21 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return np.array([0.0 if v is None else v for v in row])
 
 
+def _groups(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple]:
+    """(row selector, key values) per group of one batch."""
+    if not keys:
+        yield slice(None), ()
+        return
+    codes = np.zeros(batch.num_rows, dtype=np.int64)
+    for k in keys:
+        d = batch.column(k).dictionary_encode("encode")
+        codes = codes * (len(d.dictionary) + 1) + d.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=codes[order[0]] - 1))
+    for s, e in zip(starts, [*starts[1:], len(order)]):
+        yield order[s:e], tuple(batch.column(k)[int(order[s])].as_py() for k in keys)
+
+
 def moments(
     df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (), shift: np.ndarray | None = None,
     weight: Callable[[np.ndarray], np.ndarray] | None = None,
@@ -79,28 +96,32 @@ def moments(
         + [T.StructField("i", T.IntegerType()), T.StructField("part", T.ArrayType(T.DoubleType()))]
     )
 
-    def rows(sums: dict) -> Iterator[pd.DataFrame]:
-        for group, m in sums.items():
-            out = {k: [v] * p for k, v in zip(keys, group)}
-            yield pd.DataFrame({**out, "i": np.arange(p, dtype=np.int32), "part": list(m)})
+    def emit(sums: dict, kinds: list) -> pa.RecordBatch:
+        flat = np.concatenate([m for m in sums.values()]) if sums else np.zeros((0, p))
+        cols = [pa.array([g[n] for g in sums for _ in range(p)], type=t) for n, t in enumerate(kinds)]
+        index = pa.array(np.tile(np.arange(p, dtype=np.int32), len(sums)))
+        offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * p)
+        return pa.RecordBatch.from_arrays(
+            cols + [index, pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], keys + ["i", "part"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for pdf in batches:
-            if pdf.empty:
+        kinds: list = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            if batch.num_rows == 0:
                 continue
-            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
-            for group, part in groups:
-                x = np.stack(part["_a"].to_numpy()) - move
-                w = x if weight is None else x * weight(x)[:, None]
-                group = group if isinstance(group, tuple) else (group,)
-                sums[group] = sums.get(group, 0.0) + w.T @ x
+            x = matrix(batch.column("_a")) - move
+            w = x if weight is None else x * weight(x)[:, None]
+            for rows, group in _groups(batch, keys):
+                sums[group] = sums.get(group, 0.0) + w[rows].T @ x[rows]
             if len(sums) > flush:
-                yield from rows(sums)
+                yield emit(sums, kinds)
                 sums = {}
-        yield from rows(sums)
+        if sums:
+            yield emit(sums, kinds)
 
-    partial = complete.mapInPandas(run, schema)
+    partial = complete.mapInArrow(run, schema)
     return partial.groupBy(*keys, "i").agg(
         vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("row")
     )

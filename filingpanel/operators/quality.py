@@ -20,14 +20,14 @@ def quality_report(docs: DataFrame) -> DataFrame:
     years = per_year.agg(
         F.count_if(F.col("n") < 100).alias("sparse_years"),
         F.max_by("year", F.struct(F.col("n"), -F.col("year"))).alias("peak_year"), F.max("n").alias("peak_filings"),
-    ).withColumn("_j", F.lit(0))
+    )
     base = docs.agg(
         F.count("*").alias("n_records"), F.countDistinct("accession_number").alias("n_filings"),
         F.min("year").alias("first_year"), F.max("year").alias("last_year"),
         F.count_if(F.col("text_length") < 100).alias("n_short"), F.count("cik").alias("n_cik"),
         F.countDistinct("cik").alias("n_firms"),
-    ).withColumn("_j", F.lit(0))
-    return base.join(years, "_j").drop("_j").withColumn(
+    )
+    return base.withColumn("_y", years.select(F.struct("*")).scalar()).select(*base.columns, "_y.*").withColumn(
         "short_pct", F.col("n_short") / F.col("n_records") * 100
     ).withColumn("cik_pct", F.col("n_cik") / F.col("n_records") * 100).withColumn(
         "cik_warning", F.col("n_cik") < 0.9 * F.col("n_records"))
@@ -79,9 +79,8 @@ def check_text(df: DataFrame) -> DataFrame:
     n = F.length("text")
     stats = df.agg(
         F.count("*").alias("n"), F.count_if(F.col("text").isNull() | (n == 0)).alias("n_empty"),
-        F.avg(n).alias("mean_length")).withColumn("_j", F.lit(0))
-    med = exact_quantiles(df, n, {"median_length": 0.5}).withColumn("_j", F.lit(0))
-    return stats.join(med, "_j", "left").drop("_j")
+        F.avg(n).alias("mean_length"))
+    return stats.withColumn("median_length", exact_quantiles(df, n, {"median_length": 0.5}).scalar())
 
 
 def item_distribution(df: DataFrame) -> DataFrame:

@@ -94,9 +94,8 @@ def firm_count_summary(sample: DataFrame, cap: int, firm: str = "cik") -> DataFr
         F.max("n").alias("max"), F.stddev_samp("n").alias("std"), F.count_if(n == cap).alias("at_cap"),
         F.count_if(n < 100).alias("below_100"), F.count_if((n >= 100) & (n < 1000)).alias("from_100"),
         F.count_if((n >= 1000) & (n < cap)).alias("from_1000"),
-    ).withColumn("_j", F.lit(0))
-    median = exact_quantiles(counts, "n", {"median": 0.5}).withColumn("_j", F.lit(0))
-    return stats.join(median, "_j", "left").drop("_j")
+    )
+    return stats.withColumn("median", exact_quantiles(counts, "n", {"median": 0.5}).scalar())
 
 
 def sampling_rate(sample: DataFrame, full: DataFrame) -> DataFrame:
@@ -116,9 +115,8 @@ def reduction_report(before: DataFrame, after: DataFrame, keys: list[str], cap:
     """Groups, groups over the cap, rows before and after, share removed."""
     groups = before.groupBy(*keys).agg(F.count("*").alias("n")).agg(
         F.count("*").alias("n_groups"), F.count_if(F.col("n") > cap).alias("n_capped"), F.sum("n").alias("n_before")
-    ).withColumn("_j", F.lit(0))
-    left = after.agg(F.count("*").alias("n_after")).withColumn("_j", F.lit(0))
-    return groups.join(left, "_j").drop("_j").withColumn(
+    )
+    return groups.withColumn("n_after", after.agg(F.count("*")).scalar()).withColumn(
         "removed_pct", (1 - F.col("n_after") / F.col("n_before")) * 100
     )
 

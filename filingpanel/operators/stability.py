@@ -15,7 +15,7 @@ def replica_similarity(models: DataFrame) -> DataFrame:
     """Best cosine match of each neuron of replica i in replica j, for i <> j of one (M, k).
 
     Decoders are packed into blocks of neurons; block pairs meet by an equi-join
-    on (M, k), are multiplied as matrices and reduced to one maximum per neuron,
+    on (M, k, replica), are multiplied as matrices and reduced to one maximum per neuron,
     so no neuron pair is ever a row.
     """
     unit = models.select("M", "k", "replica", "neuron", "w_dec").withColumn(
@@ -25,13 +25,12 @@ def replica_similarity(models: DataFrame) -> DataFrame:
     blocks = unit.groupBy("M", "k", "replica", "block").agg(
         F.sort_array(F.collect_list(F.struct("neuron", "w_dec"))).alias("rows")
     ).select("M", "k", "replica", F.col("rows.neuron").alias("neurons"), F.flatten("rows.w_dec").alias("values"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    pairs = a.join(b, (F.col("a.M") == F.col("b.M")) & (F.col("a.k") == F.col("b.k"))
-                   & (F.col("a.replica") != F.col("b.replica"))).select(
-        F.col("a.M").alias("M"), F.col("a.k").alias("k"), F.col("a.replica").alias("i"),
-        F.col("b.replica").alias("j"), F.col("a.neurons").alias("neurons"), F.col("a.values").alias("x"),
-        F.size("b.neurons").alias("n_b"), F.col("b.values").alias("y"),
-    )
+    last = models.agg(F.max("replica").alias("r")).scalar()
+    left = blocks.select(
+        "M", "k", F.col("replica").alias("i"), F.explode(F.sequence(F.lit(0), last)).alias("j"), "neurons",
+        F.col("values").alias("x")).where(F.col("i") != F.col("j"))
+    right = blocks.select("M", "k", F.col("replica").alias("j"), F.size("neurons").alias("n_b"), F.col("values").alias("y"))
+    pairs = left.join(right, ["M", "k", "j"])
 
     def unit_rows(v: np.ndarray, n: int) -> np.ndarray:
         m = np.asarray(v, dtype=np.float64).reshape(n, -1)

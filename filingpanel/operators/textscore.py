@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..functions.durable import durable
 from ..functions.quantiles import exact_quantiles
 from ..functions.sampling import hash_rank, lowest_ranked
 from .prepare import first_per_key
@@ -36,7 +37,7 @@ FINANCE_WORDS = (
 
 def _with_words(df: DataFrame, lower: bool = False) -> DataFrame:
     df = df.withColumn("_words", tx.tokens(F.col("text")))
-    return df.withColumn("_lower", tx.lower_tokens(F.col("text"))) if lower else df
+    return df.withColumn("_lower", F.transform("_words", F.lower)) if lower else df
 
 
 def readability(df: DataFrame) -> DataFrame:
@@ -157,7 +158,8 @@ def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> D
         raise ValueError(f"unknown aggregation {agg}")
     known = df.where(F.col("cik").isNotNull() & F.col("year").isNotNull())
     tok = known.select(*SENTENCE_KEY, "cik", "year", F.explode(tx.lower_tokens(F.col("text"))).alias("token"))
-    per_year = tok.groupBy("cik", "token", "year").agg(F.count("*").alias("c"))
+    # Written out: three parts below read it, and it is far smaller than the text.
+    per_year = durable(tok.groupBy("cik", "token", "year").agg(F.count("*").alias("c")))
     w_tok = Window.partitionBy("cik", "token").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     earlier = per_year.withColumn("before", F.coalesce(F.sum("c").over(w_tok), F.lit(0)))
     w_firm = Window.partitionBy("cik").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,12 +171,9 @@ def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> D
         "cik", "token", "year",
         (-F.log((F.col("before") + alpha) / (F.col("total_before") + alpha * vocab))).alias("info"),
     )
-    # Count tokens per sentence first: each distinct token of a sentence is joined once.
-    counts = tok.groupBy(*SENTENCE_KEY, "cik", "year", "token").agg(F.count("*").alias("n"))
-    total = F.sum(F.col("n") * F.col("info"))
-    value = {"mean": total / F.sum("n"), "sum": total, "max": F.max("info")}[agg]
-    return counts.join(prior, ["cik", "token", "year"]).groupBy(*SENTENCE_KEY, "cik", "year").agg(
-        F.count("*").alias("n_distinct_tokens"), value.alias("novelty_surprisal")
+    value = {"mean": F.avg("info"), "sum": F.sum("info"), "max": F.max("info")}[agg]
+    return tok.join(prior, ["cik", "token", "year"]).groupBy(*SENTENCE_KEY, "cik", "year").agg(
+        F.count("*").alias("n_tokens"), value.alias("novelty_surprisal")
     )
 
 
@@ -234,5 +233,5 @@ def describe_score(df: DataFrame, col: str) -> DataFrame:
         F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"),
     ).withColumn("score", F.lit(col))
-    quart = exact_quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).withColumn("score", F.lit(col))
-    return basic.join(quart, "score")
+    quart = exact_quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).select(F.struct("*")).scalar()
+    return basic.withColumn("_q", quart).select(*basic.columns, "_q.*")

@@ -24,8 +24,9 @@ def concept_panel(
 ) -> DataFrame:
     """Document scores with the columns of the alive features among ``features``."""
     keys = ["accession_number", "sentence_id", "item_type"]
+    # Rates, thresholds and features all read the activations: encode once.
     long = concepts.to_long(model.transform(sents.select(*keys, "embedding")), keys)
-    long = concepts.alive_features(long, sents, min_rate)
+    long = concepts.alive_features(durable(long), sents, min_rate)
     wide = panel_columns(docpanel.document_features(sents, long, q), features)
     cols = [c for c in wide.columns if c not in DOC_KEY]
     return docpanel.document_scores(sents).join(wide, DOC_KEY, "left").fillna(0.0, cols)

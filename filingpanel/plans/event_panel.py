@@ -28,7 +28,7 @@ def control_panel(
     m = controls.clean_monthly(monthly)
     fund = controls.link_fundamentals(controls.book_equity(fundamentals), links, ["at", "be", "total_debt"])
     return controls.winsorize(controls.assemble_controls(
-        filings, m, controls.momentum(m), controls.rolling_volatility(daily), fund))
+        filings, m, controls.momentum(m), controls.rolling_volatility(daily), fund), materialize=True)
 
 
 def tested_coefficients(panel: DataFrame, outcome: str, base: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.order import global_index
 
 
+def spread(scan: DataFrame, *key: str) -> DataFrame:
+    """A plain scan, redistributed by key only if it has fewer splits than the cluster has slots.
+
+    Large tables have more splits than slots and pass through untouched; a table
+    stored as one row group would otherwise keep all text work in one task.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots, *key) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def write_by(df: DataFrame, path: str, *partition: str, drop: list[str] | None = None) -> None:
     """Parquet partitioned by the given columns (e.g. item_type), optionally without the text."""
     out = df.drop(*(drop or []))
