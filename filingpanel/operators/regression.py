@@ -318,6 +318,8 @@ def lasso_from_moments(
     eps: float = 1e-3,
 ) -> LassoModel:
     """Cross-validated Lasso; fold moments are all that is needed, training = total - fold."""
+    if not parts:
+        raise ValueError("no complete row to fit")
     whole = total(parts)
     sxx, _, _, mx, my = whole.centred()
     scale = np.sqrt(np.maximum(np.diag(sxx), 0) / whole.n)
