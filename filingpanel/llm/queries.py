@@ -8,12 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pii, warc
+from . import exact_dedup, langid, licenses, packing, pii, quality, simhash, warc
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(documents(spark, sf_dir)).select(
+        "doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_bundles(warc.mark_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return warc.read_bundles(index, payload=False).select(
@@ -42,6 +51,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), WORD_BPE)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs)).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(licenses.license_places(documents(spark, sf_dir)))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -54,7 +73,8 @@ WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_warc": op4_warc, "op5_pii": op5_pii, "op6_packing": op6_packing, "op10_exact_dedup": op10_exact_dedup,
+    "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_warc": op4_warc, "op5_pii": op5_pii,
+    "op6_packing": op6_packing, "op7_langid": op7_langid, "op8_licenses": op8_licenses, "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op10_exact_dedup": OP10_SQL}
 
