@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, packing, pii, quality, simhash, warc
+from . import bpe, exact_dedup, langid, licenses, packing, pii, quality, simhash, warc
 from .common import documents
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -73,7 +78,7 @@ WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_warc": op4_warc, "op5_pii": op5_pii,
+    "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_warc": op4_warc, "op5_pii": op5_pii,
     "op6_packing": op6_packing, "op7_langid": op7_langid, "op8_licenses": op8_licenses, "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op10_exact_dedup": OP10_SQL}
