@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, packing, pii, quality, simhash, warc
+from . import bpe, exact_dedup, langid, licenses, packing, pii, quality, simhash, suffixes, warc
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(licenses.license_places(documents(spark, sf_dir)))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -79,7 +84,8 @@ WINDOW w AS (PARTITION BY t)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_warc": op4_warc, "op5_pii": op5_pii,
-    "op6_packing": op6_packing, "op7_langid": op7_langid, "op8_licenses": op8_licenses, "op10_exact_dedup": op10_exact_dedup,
+    "op6_packing": op6_packing, "op7_langid": op7_langid, "op8_licenses": op8_licenses, "op9_suffixes": op9_suffixes,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op10_exact_dedup": OP10_SQL}
 

@@ -15,9 +15,11 @@ from .common import as_bytes, id_text, slices, staged
 from .components import components
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
+# Groups at a similarity: shingles of five words, fingerprints of 256 bits of which four fifths agree, shards by minima.
+WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, MINIMA = 5, 4, 0.8, 6
 TREE_SIZE = 2048  # members of one tree
 QUERY_ROWS = 1024  # queries that walk a tree together
-COUNT_ROWS = 1 << 16
+COUNT_ROWS = 1 << 15
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -33,25 +35,54 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n)
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half of the shingle hashes."""
-    hashes = shingle_hashes(text, width)
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Another hash function of the shingles, from their first one."""
+    x = hashes + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """64 bits, each 1 if it is set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), COUNT_ROWS):
         part = hashes[at:at + COUNT_ROWS]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """A bit is 1 if it is set in over half of the shingle hashes."""
+    return int(_majority(shingle_hashes(text, width))[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` per row; ``fp`` is the fingerprint as a signed long. Null text counts as empty (zero)."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1, minima: int = 0, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, minima`` per row: a fingerprint of ``words`` signed longs, and the smallest of the shingles under
+    that many more hash functions. Null text counts as empty (all zero)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fp = np.array([fingerprint(t, width) for t in as_bytes(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fps, least = np.zeros((batch.num_rows, words), np.uint64), np.zeros((batch.num_rows, minima), np.uint64)
+            for i, t in enumerate(as_bytes(batch.column("text"))):
+                hashes = shingle_hashes(t, width)
+                for j in range(words):
+                    fps[i, j] = _majority(_mixed(hashes, j) if j else hashes)[0]
+                for j in range(minima if len(hashes) else 0):
+                    least[i, j] = _mixed(hashes, words + j).min()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(fps), _lists(least)], ["doc_id", "fp", "minima"])
 
     df = id_text(docs, id_col, text_col)
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp array<long>, minima array<long>")
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.view(np.int64).ravel()))
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 class BKTree:
@@ -59,7 +90,8 @@ class BKTree:
 
     Built in bulk: the first fingerprint of a set is its root, the rest is dealt to the children by distance; this is
     the tree that inserting one by one gives. A query at distance d from a node follows the edges from d - radius to
-    d + radius only, as the triangle inequality rules out the others. Queries walk the tree in blocks.
+    d + radius only, as the triangle inequality rules out the others. Queries walk the tree in blocks. Fingerprints
+    are rows of 64-bit words.
     """
 
     def __init__(self, members: np.ndarray):
@@ -70,7 +102,7 @@ class BKTree:
             own = stack.pop()
             root, rest = own[0], own[1:]
             if rest.size:
-                d = np.bitwise_count(members[rest] ^ members[root])
+                d = distance(members[rest], members[root])
                 order = np.argsort(d, kind="stable")
                 edges, first = np.unique(d[order], return_index=True)
                 for edge, child in zip(edges.tolist(), np.split(rest[order], first[1:])):
@@ -82,7 +114,7 @@ class BKTree:
         stack = [(0, np.arange(len(queries)))] if len(self.members) and len(queries) else []
         while stack:
             node, at = stack.pop()
-            d = np.bitwise_count(queries[at] ^ self.members[node]).astype(np.int16)
+            d = distance(queries[at], self.members[node])
             hit = at[d <= radius]
             if hit.size:
                 yield node, hit
@@ -92,14 +124,16 @@ class BKTree:
                     stack.append((child, near))
 
 
-def tree_links(members: np.ndarray, blocks: Iterator[np.ndarray], radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def tree_links(members: np.ndarray, names: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]],
+               radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that connect what lies within ``radius``: one per query with a hit, one per member of a larger component.
 
-    Not all pairs are listed: components of the members are kept as labels and merged node by node.
+    Not all pairs are listed: components of the members are kept as labels and merged node by node. ``blocks``:
+    fingerprints of the queries and their names.
     """
     tree, label = BKTree(members), np.arange(len(members))
     left, right = [], []
-    for queries in blocks:
+    for queries, own in blocks:
         first = np.full(len(queries), -1)
         for node, hit in tree.within(queries, radius):
             known = first[hit]
@@ -108,8 +142,8 @@ def tree_links(members: np.ndarray, blocks: Iterator[np.ndarray], radius: int) -
             if joined.size > 1:
                 label[np.isin(label, joined)] = joined[0]
         hit = first >= 0
-        left.append(queries[hit]), right.append(members[first[hit]])
-    left.append(members), right.append(members[label])
+        left.append(own[hit]), right.append(names[first[hit]])
+    left.append(names), right.append(names[label])
     return left, right
 
 
@@ -134,32 +168,35 @@ def shard_keys(fp: Column, radius: int, agree: int = 2) -> Column:
     return F.array(*keys)
 
 
-def links(classes: DataFrame, radius: int = RADIUS, agree: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Edges ``a, b`` between different fingerprints (column ``fp``) whose components are those of all pairs within ``radius``.
+def links(classes: DataFrame, keys: Column, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Edges ``a, b`` between nodes of ``classes`` (``node`` long, ``fp``) whose components are those of all pairs of
+    fingerprints within ``radius`` that share one of ``keys`` (structs of band and value).
 
-    Fingerprints meet in shards by ``shard_keys``; each shard is a BK-tree of at most about ``tree_size`` members that
-    its own fingerprints search. A larger shard is split into several trees by a hash, and its fingerprints visit
-    each of them in blocks, so no task holds more than one tree and one block.
+    Fingerprints meet in the shard of a key; each shard is a BK-tree of at most about ``tree_size`` members that its own
+    fingerprints search. A larger shard is split into several trees by a hash, and its fingerprints visit each of
+    them in blocks, so no task holds more than one tree and one block.
     """
-    keyed = classes.select("fp", F.explode(shard_keys(F.col("fp"), radius, agree)).alias("k")).select("fp", "k.*")
+    keyed = classes.select("node", "fp", F.explode(F.array_distinct(keys)).alias("k")).select("node", "fp", "k.*")
     large = staged(
         keyed.groupBy("band", "value").count().where(F.col("count") > tree_size)
         .select("band", "value", F.ceil(F.col("count") / tree_size).cast("int").alias("trees")), "large-shards")
-    own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int")
     dealt = (
         keyed.join(large, ["band", "value"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-        .withColumn("own", own).select("fp", "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-        .select("band", "value", "tree", (F.col("own") != F.col("tree")).alias("guest"), "fp")
-        .repartition("band", "value", "tree").sortWithinPartitions("band", "value", "tree", "guest", "fp")
+        .withColumn("own", own)
+        .select("node", "fp", "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
+        .select("band", "value", "tree", (F.col("own") != F.col("tree")).alias("guest"), "node", "fp")
+        .repartition("band", "value", "tree").sortWithinPartitions("band", "value", "tree", "guest", "node")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[np.ndarray] | None = None
         for batch in batches:
-            rows = [np.asarray(batch.column(c)) for c in ("band", "value", "tree", "guest", "fp")]
+            rows = [np.asarray(batch.column(c)) for c in ("band", "value", "tree", "guest", "node")]
+            rows.append(batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1))
             if carry is not None:
                 rows = [np.concatenate(p) for p in zip(carry, rows)]
-            change = np.flatnonzero(np.any([r[1:] != r[:-1] for r in rows[:3]], axis=0)) + 1 if len(rows[0]) else []
+            change = _changes(rows)
             cut = int(change[-1]) if len(change) else 0
             if cut:
                 yield from _solve([r[:cut] for r in rows], radius)
@@ -170,47 +207,78 @@ def links(classes: DataFrame, radius: int = RADIUS, agree: int = 2, tree_size: i
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _changes(rows: list[np.ndarray]) -> np.ndarray:
+    """Where another shard tree begins."""
+    return np.flatnonzero(np.any([r[1:] != r[:-1] for r in rows[:3]], axis=0)) + 1
+
+
 def _solve(rows: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of whole shard trees; rows are sorted by shard, members before guests."""
-    guest, fp = rows[3].astype(bool), rows[4].astype(np.int64).view(np.uint64)
-    change = np.flatnonzero(np.any([r[1:] != r[:-1] for r in rows[:3]], axis=0)) + 1
+    guest, node, fp = rows[3].astype(bool), rows[4], rows[5]
+    change = _changes(rows)
     starts, ends = np.append(0, change), np.append(change, len(fp))
     sizes = ends - starts
     two = starts[sizes == 2]  # a root and one child: linked if the edge is within the radius
-    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-    left, right = [fp[two]], [fp[two + 1]]
+    two = two[distance(fp[two], fp[two + 1]) <= radius]
+    left, right = [node[two]], [node[two + 1]]
     for start, end in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
         split = end - int(guest[start:end].sum())
-        more = tree_links(fp[start:split], (fp[at:min(at + QUERY_ROWS, end)] for at in range(start, end, QUERY_ROWS)), radius)
+        blocks = ((fp[at:min(at + QUERY_ROWS, end)], node[at:min(at + QUERY_ROWS, end)]) for at in range(start, end, QUERY_ROWS))
+        more = tree_links(fp[start:split], node[start:split], blocks, radius)
         left += more[0]
         right += more[1]
-    a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
     keep = a != b
     yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
-def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, fp, component_id`` (smallest id that links reach, the own included).
-
-    Null and empty texts have fingerprint zero and link like any other. Documents of one fingerprint are one class;
-    only classes are searched. A null id never names a component (null if it has no other). Repeated rows are
-    returned as often as they come. An empty table gives an empty result.
-    """
-    rows = staged(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    labels = components(links(classes, radius))
+def _named(rows: DataFrame, keys: Column, radius: int) -> DataFrame:
+    """``doc_id, fp, component_id`` from staged fingerprints of documents."""
+    classes = staged(
+        rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("minima").alias("minima"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
+    labels = components(links(classes, keys, radius))
     # every class with the root of its component; roots and lonely classes are their own
     rooted = staged(
-        classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        classes.select("fp", "node", "first_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     smallest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     named = staged(rooted.join(smallest, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a component with a smaller id; rows without id stay."""
-    found = near_components(docs, width, radius, id_col, text_col)
+def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, fp, component_id`` (smallest id that links reach, the own included).
+
+    Fingerprints of 64 bits link within ``radius`` bits; the shards by ``shard_keys`` lose no link. Null and empty texts
+    have fingerprint zero and link like any other. Documents of one fingerprint are one class; only classes are
+    searched. A null id never names a component (null if it has no other). Repeated rows are returned as often
+    as they come. An empty table gives an empty result.
+    """
+    rows = staged(fingerprints(docs, width, id_col=id_col, text_col=text_col), "fingerprints")
+    found = _named(rows, shard_keys(F.col("fp")[0], radius), radius)
+    return found.withColumn("fp", F.col("fp")[0])
+
+
+def similar_components(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY, words: int = WIDE_WORDS,
+                       minima: int = MINIMA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id``: documents whose fingerprints of 64 * ``words`` bits agree in a share ``similarity`` of the bits.
+
+    That many differing bits are too many for keys cut from the fingerprint. The shards are the smallest shingles under
+    ``minima`` hash functions: two texts with a Jaccard similarity of s share one with probability
+    1 - (1 - s)^minima, over 0.9999 at 0.8. Edge cases as in ``near_components``.
+    """
+    rows = staged(fingerprints(docs, width, words, minima, id_col, text_col), "fingerprints")
+    keys = F.transform("minima", lambda x, i: F.struct(i.alias("band"), x.alias("value")))
+    return _named(rows, keys, int(64 * words * (1 - similarity) + 1e-9)).select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without those that have a component with a smaller id; rows without id stay.
+
+    ``options`` are those of ``similar_components``.
+    """
+    found = similar_components(docs, id_col=id_col, text_col=text_col, **options)
     leave = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
     return docs.join(leave, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

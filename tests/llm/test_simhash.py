@@ -57,7 +57,8 @@ def test_tree_finds_what_scanning_finds():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 5, np.uint64)
     members = np.unique(np.concatenate([centre, *[c ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)) for c in centre]]))
-    found = {(int(members[n]), int(q)) for n, hit in simhash.BKTree(members).within(members, 2) for q in members[hit]}
+    rows = members[:, None]
+    found = {(int(members[n]), int(q)) for n, hit in simhash.BKTree(rows).within(rows, 2) for q in members[hit]}
     assert found == {(int(a), int(b)) for a in members for b in members if bin(int(a) ^ int(b)).count("1") <= 2}
 
 
@@ -100,9 +101,25 @@ def test_split_shards_give_the_same_components(spark):
     rng = random.Random(6)
     fps = [brute_fingerprint(t) for t in near_texts(rng, 4, 40)]
     signed = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
-    df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    one = {tuple(r) for r in components(simhash.links(df)).collect()}
-    assert one and one == {tuple(r) for r in components(simhash.links(df, tree_size=3)).collect()}
+    df = spark.createDataFrame([(i, [f]) for i, f in enumerate(signed)], "node long, fp array<long>")
+    keys = simhash.shard_keys(simhash.F.col("fp")[0], 4)
+    one = {tuple(r) for r in components(simhash.links(df, keys)).collect()}
+    assert one and one == {tuple(r) for r in components(simhash.links(df, keys, tree_size=3)).collect()}
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    rng = random.Random(8)
+    rows, group = [], []
+    for g in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for edits in (0, 1, 2, 3):  # three edits: Jaccard 0.86 with the first
+            own = list(words)
+            for i in rng.sample(range(0, 200, 7), edits):
+                own[i] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(own)), group.append(4 * g)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+    assert got == dict(enumerate(group))
 
 
 def test_near_dedup_keeps_one_of_each_group(spark):
