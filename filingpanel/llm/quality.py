@@ -66,7 +66,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     p = F.col("p")
     covered = F.aggregate(
         F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    return four.select(*[c for c in four.columns if c != "p"], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    whole = F.struct(*[c for c in four.columns if c != "p"], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # through a generator, so that a filter on a count is not pushed into the text expressions and computes them again
+    return four.select(F.inline(F.array(whole)))
 
 
 def statistics() -> dict[str, Column]:
