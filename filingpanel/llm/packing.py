@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +20,12 @@ from tokenizers import Tokenizer
 
 from .common import as_bytes, id_text, shipped, slices, staged
 
-CAPACITY, END_ID, GROUP_PIECES, MAX_CACHED = 4096, 1, 16384, 300_000
+CAPACITY, END_ID, GROUP_PIECES, MAX_CACHED = 4096, 1, 16384, 1_000_000
+END_MARKS = b".,;:!?#$%&*+-=()[]{}/\"^_~"  # no apostrophe (contractions), nothing of the special tokens' <|>
+EASY_CASE = re.compile("[\x00-\u012f\u0131-\u0148]*").fullmatch  # letters whose case does not depend on context
+# Byte-level vocabularies write the bytes that Latin-1 does not print as the characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _TOKENIZERS: dict[str, "WordCache"] = {}
 
 
@@ -25,21 +33,37 @@ class WordCache(dict):
     """White-space separated word (bytes) -> its ids as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are the ids of its words in
-    order. Each different word is encoded once per worker; the cache starts anew when it is full.
+    order. A word is encoded when it is first met by a worker; the cache starts anew when it is full. Most words
+    are one run of lower-case letters, perhaps with end punctuation, for which the vocabulary's merges are called
+    directly; all others go through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: bytes):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        self.merges = self.tokenizer.model.tokenize
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > MAX_CACHED:
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self._ids(word)
+        if len(self) >= MAX_CACHED:
             self.clear()
-        new = list(words - self.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self[word] = np.array(e.ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
+        core = word.rstrip(END_MARKS)
+        text = core.decode()
+        if core != word and text[-1:].isalpha():  # letter runs and other runs are split anyway
+            return self[core] + self[word[len(core):]]
+        text = text if core == word else word.decode()
+        low = text.lower() if EASY_CASE(text) else text  # the tokenizer lower-cases all text
+        if low != text:
+            return self[low.encode()]
+        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            ids = [t.id for t in self.merges(word.decode("latin-1").translate(BYTE_CHARACTERS))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _cache(vocabulary: Broadcast) -> WordCache:
@@ -64,7 +88,6 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
         cache = _cache(words_of)
         for batch in slices(batches, "text", 4 << 20):
             words = [t.split() for t in as_bytes(batch.column("text"))]
-            cache.learn(set().union(*words))
             owner, piece, length, crc, ids = [], [], [], [], []
             for i, w in enumerate(words):
                 data = b"".join(map(cache.__getitem__, w)) + tail
