@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, packing, pii, quality, simhash, suffixes, warc
+from . import bpe, exact_dedup, langid, licenses, oracle, packing, pii, quality, simhash, suffixes, warc
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -87,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing, "op7_langid": op7_langid, "op8_licenses": op8_licenses, "op9_suffixes": op9_suffixes,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality": oracle.quality_sql(), "op4_warc": OP4_SQL, "op8_licenses": oracle.licenses_sql(), "op10_exact_dedup": OP10_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
