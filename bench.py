@@ -31,6 +31,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         builder("bench").master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.filingpanel.scanPartitions", cpus)  # the test tables are files of one row group
         .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )

@@ -10,7 +10,7 @@ from . import views as v
 from .registry import query
 from .views import with_views
 
-_FEATURES = [0, 3, 5, 7, 11]
+_FEATURES = list(range(16))  # all of the model
 _KEY = ["accession_number", "sentence_id", "item_type"]
 _K = "accession_number, sentence_id, item_type"
 _RANK = "md5('42|' || accession_number || '|' || sentence_id || '|' || item_type)"
@@ -31,7 +31,7 @@ _EXAMPLES = f"""
   txt as (select *, 'Sentence ' || sentence_id || ' of filing ' || accession_number || ' in ' || item_type
                     || repeat(' and more', 30) as text from sentence_embedding),
   full_act as (select {_K}, f.feature_id, coalesce(a.value, 0e0) as value, text
-               from txt cross join (select unnest([0, 3, 5, 7, 11]) as feature_id) f
+               from txt cross join (select unnest(range(16)) as feature_id) f
                left join activation a using ({_K}, feature_id)),
   cuts as (select feature_id, quantile_cont(value, 95e-2) as hi from full_act group by 1),
   high as (select * from (select f.*, row_number() over (partition by feature_id order by {_RANK}) as example
@@ -67,16 +67,8 @@ def interpretation_prompts(spark, d):
     return ip.interpretation_prompts(ip.high_examples(a, s, _FEATURES), ip.low_examples(a, s, _FEATURES))
 
 
-@query("describe_concepts", with_views(f"""with {_EXAMPLES}
-  select distinct feature_id, '[stub] pattern of feature ' || feature_id as description from high
-  where feature_id in (select feature_id from low)"""))
-def describe_concepts(spark, d):
-    return ip.describe_concepts(interpretation_prompts(spark, d))
-
-
 @query("evaluation_sample", with_views(f"""
   select {_K} from sentence_embedding
-  where cast('0x' || substr(md5('43|' || accession_number || '|' || sentence_id || '|' || item_type), 1, 8) as bigint) % 16 = 0
   order by {_RANK} limit 100"""))
 def evaluation_sample(spark, d):
     return ip.evaluation_sample(v.sentence_embedding(spark, d)).select(*_KEY)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.durable import ensure_checkpoint_dir
+from ..functions.durable import shared_folder
 from ..operators import concepts as cp, stability as sb, training as tr
 from ..plans import concept_panel as pc, event_panel as pe, text_scores as pt
 from ..streaming.loss_monitor import loss_plateau_stream
@@ -33,9 +33,9 @@ def filing_scores(spark, d):
 
 
 _COLS = ", ".join(
-    f"round(coalesce(sum(value) filter (feature_id = {f}) * 1e0 / any_value(n), 0), 6) as mean_{f}" for f in (0, 3, 7)
+    f"round(coalesce(sum(value) filter (feature_id = {f}) * 1e0 / any_value(n), 0), 6) as mean_{f}" for f in range(16)
 ) + ", " + ", ".join(
-    f"round(count(*) filter (feature_id = {f} and value > threshold) * 1e0 / any_value(n), 6) as freq_{f}" for f in (0, 3, 7))
+    f"round(count(*) filter (feature_id = {f} and value > threshold) * 1e0 / any_value(n), 6) as freq_{f}" for f in range(16))
 
 
 @query("concept_panel", with_views(f"""
@@ -51,8 +51,8 @@ _COLS = ", ".join(
 def concept_panel(spark, d):
     e = v.sentence_embedding(spark, d).select(*_KEY, "embedding")
     sents = v.sentence_panel(spark, d).join(e, _KEY)
-    p = pc.concept_panel(sents, cp.KSparseEncoderModel(v.encoder(), v.ENCODER_K), [0, 3, 7])
-    cols = [f"{k}_{f}" for k in ("mean", "freq") for f in (0, 3, 7)]
+    p = pc.concept_panel(sents, cp.KSparseEncoderModel(v.encoder(), v.ENCODER_K), list(range(16)))
+    cols = [f"{k}_{f}" for k in ("mean", "freq") for f in range(16)]
     return _round(p.select("accession_number", "item_type", "n_sentences", "year", "novelty_cln_mean", *cols),
                   "novelty_cln_mean", *cols)
 
@@ -104,8 +104,7 @@ def encoder_ensemble(spark, d):
 @query("loss_plateau_stream", oracle_sql()["loss_plateau"])
 def loss_stream(spark, d):
     """The plateau check as a stream over the events folder, run to the end of the data."""
-    ensure_checkpoint_dir(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/loss-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/loss-{uuid.uuid4().hex}"
     events = v.table(spark, d, "events")
     log = (
         spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)

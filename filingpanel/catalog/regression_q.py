@@ -346,8 +346,3 @@ def control_sign_check(spark, d):
     t = v.test_result(spark, d).select(
         "feature", F.element_at(names, (F.col("feature") % 6 + 1).cast("int")).alias("term"), "coefficient")
     return rs.control_sign_check(t)
-
-
-@query("placeholder_outcomes")
-def placeholder_outcomes(spark, d):
-    return rs.placeholder_outcomes(v.document(spark, d).select("accession_number", "item_type"))

@@ -54,10 +54,9 @@ def sentiment(spark, d):
 
 
 @query("baseline_features", with_views(f"""
-  select {_K}, {', '.join(_RCOLS + _SCOLS)} from ({_SENT.format('(' + _READ + ')')})
-  order by md5('42|' || accession_number || '|' || sentence_id || '|' || item_type) limit 10000"""))
+  select {_K}, {', '.join(_RCOLS + _SCOLS)} from ({_SENT.format('(' + _READ + ')')})"""))
 def baseline_features(spark, d):
-    out = ts.baseline_features(v.sentence(spark, d), 10000).select(*_KEY, *_RCOLS, *_SCOLS)
+    out = ts.baseline_features(v.sentence(spark, d)).select(*_KEY, *_RCOLS, *_SCOLS)
     return _round(out, *_RCOLS[1:], "sentiment_ratio")
 
 
@@ -136,24 +135,20 @@ def surprisal_novelty_sum(spark, d):
 
 
 @query("uniform_attention", with_views(f"""
-  select {_K}, case when row_number() over (partition by accession_number order by item_type, sentence_id) <= 64
-                    then 1e0 / 64 end as relevance_kmnz from sentence"""))
+  select {_K}, round(1e0 / count(*) over (partition by accession_number), 6) as relevance_kmnz from sentence"""))
 def uniform_attention(spark, d):
-    return ts.attention_relevance(v.sentence(spark, d), max_sentences=64)[0].select(*_KEY, "relevance_kmnz")
+    return _round(ts.attention_relevance(v.sentence(spark, d))[0].select(*_KEY, "relevance_kmnz"), "relevance_kmnz")
 
 
 _ATTENTION = """
-  att as (select *, case when n <= 4 then exp(s - max(case when n <= 4 then s end) over (partition by accession_number))
-            end as e
-          from (select *, vec_id % 7 / 2e0 as s,
-                       row_number() over (partition by accession_number order by item_type, sentence_id) as n
-                from sentence_embedding)),
+  att as (select *, exp(s - max(s) over (partition by accession_number)) as e
+          from (select *, vec_id % 7 / 2e0 as s from sentence_embedding)),
   soft as (select *, e / sum(e) over (partition by accession_number) as a from att)"""
 
 
 def _scored_embeddings(spark, d):
     e = v.sentence_embedding(spark, d).withColumn("s", F.col("vec_id") % 7 / 2.0)
-    return ts.attention_relevance(e, "s", 4, "embedding")
+    return ts.attention_relevance(e, "s", embedding="embedding")
 
 
 @query("attention_relevance", with_views(f"""with {_ATTENTION}

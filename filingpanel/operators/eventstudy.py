@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .prepare import first_per_key
+
 _BUCKET = 32  # days
 _OFF = "_off"  # days from the filing date to the observation
 
@@ -163,11 +165,12 @@ def forecast_revision(f: DataFrame, fc: DataFrame, days: int = 30, tie: Sequence
 
 
 def assemble_outcomes(f: DataFrame, returns: DataFrame, forecasts: DataFrame | None = None) -> DataFrame:
-    """Filings with their outcomes; both right sides hold one row per key."""
-    out = f.join(returns.dropDuplicates(["permno", "filing_date"]), ["permno", "filing_date"], "left")
-    if forecasts is not None:
-        out = out.join(forecasts.dropDuplicates(["ticker", "filing_date"]), ["ticker", "filing_date"], "left")
-    return out
+    """Filings with their outcomes; of several rows per key on a right side the lowest in column order counts."""
+    for right, key in ((returns, ["permno", "filing_date"]), (forecasts, ["ticker", "filing_date"])):
+        if right is not None:
+            rest = [c for c in right.columns if c not in key]
+            f = f.join(first_per_key(right.select(*key, *rest), key, rest), key, "left")
+    return f
 
 
 def _interval_match(f: DataFrame, links: DataFrame, key: str, value: str, start: str, end: Column) -> DataFrame:

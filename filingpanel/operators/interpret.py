@@ -11,8 +11,6 @@ from ..functions.quantiles import sparse_quantile
 from ..functions.sampling import cap_per_group, hash_rank, lowest_ranked
 from .textscore import SENTENCE_KEY
 
-_CANDIDATES = 64  # sentences looked at per wanted zero example before the exact fallback
-
 
 def _of(long: DataFrame, features: Sequence[int]) -> DataFrame:
     return long.where(F.col("feature_id").isin(*features))
@@ -35,9 +33,9 @@ def low_examples(
     """At most ``n`` random sentences per feature without activation.
 
     With fewer than ``n`` such sentences the rows up to the ``q`` quantile are
-    used instead.  Zeros are not stored, so they are first sought among a fixed
-    number of sentences in hash order; only features for which that is not
-    enough are completed over all sentences.
+    used instead.  Zeros are not stored: a sentence gives the wanted features
+    that are missing from its active ones, and each task keeps the ``n`` lowest
+    ranks per feature before anything is shuffled.
     """
     features = list(features)
     act = _of(long, features)
@@ -48,30 +46,21 @@ def low_examples(
     keys = sents.select(*SENTENCE_KEY)
     rank = hash_rank(seed, *SENTENCE_KEY)
 
-    out = None
-    if plenty:
-        some = _zeros(lowest_ranked(keys, n * _CANDIDATES, rank), act, plenty)
-        found = {r["feature_id"]: r["c"] for r in some.groupBy("feature_id").agg(F.count("*").alias("c")).collect()}
-        done = [f for f in plenty if found.get(f, 0) >= n]
-        rest = [f for f in plenty if f not in done]
-        out = some.where(F.col("feature_id").isin(*done)) if done else None
-        if rest:
-            more = _zeros(keys, act, rest)
-            out = more if out is None else out.unionByName(more)
+    out = _zeros(keys, act, features)
     if scarce:
         thr = sparse_quantile(_of(act, scarce), sents, "feature_id", "value", q, "threshold")
         below = act.join(F.broadcast(thr), "feature_id").where(F.col("value") <= F.col("threshold"))
-        low = below.select(*SENTENCE_KEY, "feature_id", "value").unionByName(_zeros(keys, act, scarce))
-        out = low if out is None else out.unionByName(low)
+        out = out.unionByName(below.select(*SENTENCE_KEY, "feature_id", "value"))
     return _with_text(cap_per_group(out, ["feature_id"], n, rank), sents, seed)
 
 
 def _zeros(keys: DataFrame, act: DataFrame, features: Sequence[int]) -> DataFrame:
-    """(sentence, feature) pairs without activation, for the given features."""
-    wanted = F.explode(F.array(*[F.lit(f) for f in features])).alias("feature_id")
-    return keys.select(*SENTENCE_KEY, wanted).join(
-        act.select(*SENTENCE_KEY, "feature_id"), [*SENTENCE_KEY, "feature_id"], "left_anti"
-    ).withColumn("value", F.lit(0.0))
+    """(sentence, feature) without activation, for the given features."""
+    active = act.groupBy(*SENTENCE_KEY).agg(F.collect_set(F.col("feature_id").cast("int")).alias("_on"))  # at most k per sentence
+    wanted = F.array(*[F.lit(f) for f in features])
+    missing = F.array_except(wanted, F.coalesce("_on", F.array().cast("array<int>")))
+    return keys.select(*SENTENCE_KEY).join(active, SENTENCE_KEY, "left").select(
+        *SENTENCE_KEY, F.explode(missing).alias("feature_id"), F.lit(0.0).alias("value"))
 
 
 def _with_text(picked: DataFrame, sents: DataFrame, seed: int) -> DataFrame:
@@ -95,15 +84,12 @@ def interpretation_prompts(high: DataFrame, low: DataFrame, shown: int = 10, wid
     return block(high, "high").join(block(low, "low"), "feature_id").withColumn("prompt", text)
 
 
-def describe_concepts(prompts: DataFrame, labeller: Callable[[], Callable[[list[str]], list[str]]] | None = None) -> DataFrame:
+def describe_concepts(prompts: DataFrame, labeller: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
     """A description per prompt.
 
     ``labeller`` is a plug point: it is called once per task and returns a
-    function from prompts to descriptions.  The default writes a placeholder.
+    function from prompts to descriptions.
     """
-    if labeller is None:
-        return prompts.select("feature_id", F.concat(F.lit("[stub] pattern of feature "), F.col("feature_id")).alias("description"))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         label = labeller()
         for pdf in batches:
@@ -112,10 +98,9 @@ def describe_concepts(prompts: DataFrame, labeller: Callable[[], Callable[[list[
     return prompts.select("feature_id", "prompt").mapInPandas(run, "feature_id int, description string")
 
 
-def evaluation_sample(sents: DataFrame, n: int = 100, seed: int = 42, share: int = 16) -> DataFrame:
-    """At most ``n`` held-out sentences: those whose hash falls in one of ``share`` buckets."""
-    bucket = F.conv(F.substring(hash_rank(seed + 1, *SENTENCE_KEY), 1, 8), 16, 10).cast("long") % share
-    return lowest_ranked(sents.where(bucket == 0), n, hash_rank(seed, *SENTENCE_KEY))
+def evaluation_sample(sents: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
+    """``n`` random sentences of all, or all if there are fewer."""
+    return lowest_ranked(sents, n, hash_rank(seed, *SENTENCE_KEY))
 
 
 def fidelity(df: DataFrame, by: str = "feature_id", truth: str = "truth", pred: str = "pred") -> DataFrame:

@@ -86,10 +86,8 @@ def enrich_sentences(df: DataFrame, meta: DataFrame) -> DataFrame:
     return df.drop(*new).join(right, keys, "left")
 
 
-def sentence_table(docs: DataFrame, min_length: int = 20, max_docs: int | None = None) -> DataFrame:
+def sentence_table(docs: DataFrame, min_length: int = 20) -> DataFrame:
     """One row per kept sentence; ``sentence_id`` counts the kept sentences of a document from 0."""
-    if max_docs is not None:
-        docs = docs.orderBy("accession_number", "item_type").limit(max_docs)
     keys = [c for c in ["accession_number", "cik", "ticker", "year", "filing_date", "item_type"] if c in docs.columns]
     return docs.select(
         *keys, F.posexplode(tx.sentences(F.col("text"), min_length)).alias("sentence_id", "text")

@@ -192,14 +192,17 @@ def firm_diff(
     df: DataFrame, z: str = "z", keys: Sequence[str] = ("cik", "item_type"),
     order: Sequence[str] = ("filing_date", "accession_number"),
 ) -> DataFrame:
-    """Change of z since the previous filing of the firm; null on the first.
+    """Change of z since the previous filing of the firm; null on the first and where a key is null.
 
     The lag runs per firm and calendar quarter with the last filing of earlier
     quarters handed on, so a firm with very many filings is spread.
     """
     quarter = F.year("filing_date") * 4 + F.quarter("filing_date")
     lagged = carried_lag(df, list(keys), quarter, list(order), [z])
-    prev = F.col(f"prev_{z}")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    prev = F.when(known, F.col(f"prev_{z}"))
     return lagged.withColumn(
         f"delta_{z}", F.when(prev.isNotNull(), vx.subtract(vx.as_double(F.col(z)), vx.as_double(prev)))
     ).drop(f"prev_{z}", "prev_exists")

@@ -402,7 +402,9 @@ def feature_selection(
     for y in outcomes:
         for year in (years or [split_year]):
             data = panel.where(F.col(y).isNotNull()).fillna(0.0, xs)
-            late = F.lit(False) if year is None else F.coalesce(F.col("year") >= year, F.lit(False))
+            if year is not None:
+                data = data.where(F.col("year").isNotNull())  # on neither side of the split
+            late = F.lit(False) if year is None else F.col("year") >= year
             data = kfold(data.withColumn("_late", late), folds, list(key) or [*xs, y])
             parts = fit_moments(data, xs, y, ["_late", "fold"])
             train = {f: m for (side, f), m in parts.items() if not side}

@@ -178,10 +178,3 @@ def control_sign_check(fits: DataFrame) -> DataFrame:
     return fits.where(F.col("term").isin(*EXPECTED_SIGNS)).withColumn("expected", expected[F.col("term")]).withColumn(
         "verdict", F.when(F.col("expected") == 0, "open").when(sign == F.col("expected"), "as expected")
         .otherwise("opposite"))
-
-
-def placeholder_outcomes(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Synthetic normal outcomes for trying the later steps without market data."""
-    return df.withColumns({
-        n: F.randn(seed + i) * s for i, (n, s) in enumerate(
-            {"car_3d": 0.05, "drift_30d": 0.10, "drift_60d": 0.15}.items())})

@@ -80,9 +80,9 @@ def sentiment(
     )
 
 
-def baseline_features(df: DataFrame, n: int = 100_000, seed: int = 42) -> DataFrame:
-    """Readability and sentiment of at most ``n`` sampled sentences."""
-    return sentiment(readability(lowest_ranked(df, n, hash_rank(seed, *SENTENCE_KEY))))
+def baseline_features(df: DataFrame) -> DataFrame:
+    """Readability and sentiment of every sentence."""
+    return sentiment(readability(df))
 
 
 def token_counts(df: DataFrame, vocabulary: Iterable[str] = FINANCE_WORDS) -> DataFrame:
@@ -157,9 +157,13 @@ def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> D
     if agg not in ("mean", "sum", "max"):
         raise ValueError(f"unknown aggregation {agg}")
     known = df.where(F.col("cik").isNotNull() & F.col("year").isNotNull())
-    tok = known.select(*SENTENCE_KEY, "cik", "year", F.explode(tx.lower_tokens(F.col("text"))).alias("token"))
+    words = tx.lower_tokens(F.col("text"))
+    tok = known.select(*SENTENCE_KEY, "cik", "year", words.alias("_w")).select(
+        *SENTENCE_KEY, "cik", "year", "_w", F.explode(F.array_distinct("_w")).alias("token"))
+    # a word of a sentence is one row with its number, whatever follows
+    tok = tok.withColumn("n", F.size("_w") - F.size(F.array_remove("_w", F.col("token")))).drop("_w")
     # Written out: three parts below read it, and it is far smaller than the text.
-    per_year = durable(tok.groupBy("cik", "token", "year").agg(F.count("*").alias("c")))
+    per_year = durable(tok.groupBy("cik", "token", "year").agg(F.sum("n").alias("c")))
     w_tok = Window.partitionBy("cik", "token").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     earlier = per_year.withColumn("before", F.coalesce(F.sum("c").over(w_tok), F.lit(0)))
     w_firm = Window.partitionBy("cik").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
@@ -167,29 +171,38 @@ def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> D
         "cik", "year", F.coalesce(F.sum("c").over(w_firm), F.lit(0)).alias("total_before")
     )
     vocab = per_year.select("token").distinct().agg(F.count("*").alias("v")).scalar()
-    prior = earlier.join(totals, ["cik", "year"]).select(
+    # Stored, so that the join below meets two plain tables and a hot (firm, word) can be split.
+    prior = durable(earlier.join(totals, ["cik", "year"]).select(
         "cik", "token", "year",
         (-F.log((F.col("before") + alpha) / (F.col("total_before") + alpha * vocab))).alias("info"),
-    )
-    value = {"mean": F.avg("info"), "sum": F.sum("info"), "max": F.max("info")}[agg]
+    ))
+    total = F.sum(F.col("info") * F.col("n"))
+    value = {"mean": total / F.sum("n"), "sum": total, "max": F.max("info")}[agg]
     return tok.join(prior, ["cik", "token", "year"]).groupBy(*SENTENCE_KEY, "cik", "year").agg(
-        F.count("*").alias("n_tokens"), value.alias("novelty_surprisal")
+        F.sum("n").cast("long").alias("n_tokens"), value.alias("novelty_surprisal")
     )
 
 
 def attention_relevance(
-    df: DataFrame, score: str | None = None, max_sentences: int = 512, embedding: str | None = None
+    df: DataFrame, score: str | None = None, max_sentences: int | None = None, embedding: str | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Softmax weight of each sentence in its filing; weighted mean vector per filing if asked for.
 
-    The weight runs over the first ``max_sentences`` sentences (a filing is padded
-    to that length, so without a score the weight is ``1/max_sentences``); later
-    sentences get null.  Filing sums are aggregates, not windows.
+    All sentences of a filing take part; without a score each has the same weight.
+    ``max_sentences`` is for models with a fixed input length: the weight then runs
+    over the first sentences only (``1/max_sentences`` without a score, as a filing
+    is padded to that length) and later ones get null.  Filing sums are aggregates.
     """
-    order = Window.partitionBy("accession_number").orderBy("item_type", "sentence_id")
-    ranked = df.withColumn("_n", F.row_number().over(order))
-    inside = F.col("_n") <= max_sentences
-    if score is None:
+    if max_sentences is None:
+        ranked, inside = df, F.lit(True)
+    else:
+        order = Window.partitionBy("accession_number").orderBy("item_type", "sentence_id")
+        ranked = df.withColumn("_n", F.row_number().over(order))
+        inside = F.col("_n") <= max_sentences
+    if score is None and max_sentences is None:
+        share = df.groupBy("accession_number").agg((F.lit(1.0) / F.count("*")).alias("relevance_kmnz"))
+        weighted = df.join(share, "accession_number")
+    elif score is None:
         weighted = ranked.withColumn("relevance_kmnz", F.when(inside, F.lit(1.0 / max_sentences)))
     else:
         top = ranked.where(inside).groupBy("accession_number").agg(F.max(score).alias("_top"))

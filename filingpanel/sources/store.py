@@ -7,14 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.order import global_index
 
 
-def spread(scan: DataFrame, *key: str) -> DataFrame:
-    """A plain scan, redistributed by key only if it has fewer splits than the cluster has slots.
+def spread(scan: DataFrame, partitions: int | str | None, *key: str) -> DataFrame:
+    """A scan redistributed by key into ``partitions`` parts if a number is given, else as it is.
 
-    Large tables have more splits than slots and pass through untouched; a table
-    stored as one row group would otherwise keep all text work in one task.
+    For tables stored as one row group, which would keep all text work in one task.
     """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(slots, *key) if scan.rdd.getNumPartitions() < slots else scan
+    return scan.repartition(int(partitions), *key) if partitions else scan
 
 
 def write_by(df: DataFrame, path: str, *partition: str, drop: list[str] | None = None) -> None:

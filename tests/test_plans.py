@@ -73,27 +73,8 @@ def test_columns_and_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(date" in cut and "IsNotNull(ret)" in cut and "other" not in cut
 
 
-def test_spread_leaves_scans_with_enough_splits_alone(spark, tmp_path):
-    path = str(tmp_path / "many")
-    slots = spark.sparkContext.defaultParallelism
-    spark.range(0, 400, 1, 2 * slots).write.parquet(path)
-    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
-    try:
-        assert "Exchange" not in plan(store.spread(spark.read.parquet(path), "id"))
-    finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-    spark.range(0, 400, 1, 1).write.parquet(str(tmp_path / "one"))
-    assert "Exchange" in plan(store.spread(spark.read.parquet(str(tmp_path / "one")), "id"))
-
-
-def test_validation_report_counts_by_severity(spark):
-    rows = [("a", "x", True, "error", ""), ("a", "y", False, "warning", ""), ("b", "z", False, "error", ""), ("b", "i", True, "info", "")]
-    got = {r["phase"]: r for r in qa.validation_report(spark.createDataFrame(rows, qa.CHECK)).collect()}
-    assert (got["a"]["status"], got["a"]["n_warnings"]) == ("passed", 1)
-    assert (got["b"]["status"], got["b"]["n_errors"], got["b"]["n_info"]) == ("failed", 1, 1)
-
-
-def test_schema_check_by_prefix(spark):
-    df = spark.createDataFrame([(1.0, 2.0)], "z_on_1 double, z_perp_1 double")
-    assert qa.check_schema(df, ["z_on_", "z_perp_"], prefix=True).first()["passed"]
-    assert qa.check_schema(df, ["z_on_", "w_"], prefix=True).first()["detail"] == "w_"
+def test_spread_is_asked_for(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(0, 400, 1, 1).write.parquet(path)
+    assert "Exchange" not in plan(store.spread(spark.read.parquet(path), None, "id"))
+    assert "Exchange" in plan(store.spread(spark.read.parquet(path), 8, "id"))
