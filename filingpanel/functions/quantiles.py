@@ -1,8 +1,8 @@
 """Exact quantiles (linear interpolation) without sorting a group in one task.
 
 A sketch with a guaranteed rank error brackets each wanted rank; rows below the
-bracket are only counted, and just the rows inside it (a fixed 0.06 % share)
-are sorted.  The answer is exact, the sketch only decides what may be skipped.
+bracket are only counted, and the rows inside it are sorted in many small ranges.
+The answer is exact, the sketch only decides what may be skipped.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
 _PAD = 3.0 / ACCURACY
+BINS = 1024
 
 
 def _numbers(x: DataFrame) -> DataFrame:
@@ -91,20 +92,35 @@ def sparse_quantile(nonzero: DataFrame, rows: DataFrame, by: str, value: str, q:
 
 
 def _select(near: DataFrame, keys: list[str]) -> DataFrame:
-    """Values at ranks floor(pos) and ceil(pos) of each (key, quantile), as ``_a`` and ``_z``."""
-    # Per (key, quantile) the rows below the band collapse into one count.
+    """Values at ranks floor(pos) and ceil(pos) of each (key, quantile), as ``_a`` and ``_z``.
+
+    Per (key, quantile) the rows below the band collapse into one count, and the band is cut into ``BINS`` ranges of
+    equal width. Positions run inside a range only; a table of at most ``BINS`` + 1 rows per (key, quantile) tells how
+    many rows lie before each range, so no task sorts a whole band.
+    """
     hit = near.select(*keys, "_x", F.explode("_bands").alias("_b")).where(F.col("_x") <= F.col("_b.hi"))
-    inside = F.col("_x") >= F.col("_b.lo")
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    inside = F.col("_x") >= lo
+    width = hi - lo
+    place = F.when((width > 0) & (width < float("inf")), F.least(F.floor((F.col("_x") - lo) / width * BINS), F.lit(BINS - 1)))
+    part = F.when(~inside, F.lit(-1)).otherwise(F.coalesce(place, F.lit(0))).cast("int")
     cells = hit.groupBy(
-        *keys, F.col("_b.q").alias("_q"), F.col("_b.pos").alias("_pos"), F.when(inside, F.col("_x")).alias("_v")
+        *keys, F.col("_b.q").alias("_q"), F.col("_b.pos").alias("_pos"), part.alias("_part"), F.when(inside, F.col("_x")).alias("_v")
     ).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys, "_q").orderBy(F.asc_nulls_first("_v"))
-    ranked = cells.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    group = [*keys, "_q"]
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cells.groupBy(*group, "_part").agg(F.sum("_c").alias("_n")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate([*group, "_part"])], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for i, k in enumerate([*group, "_part"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    w = Window.partitionBy(*group, "_part").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("_end", F.sum("_c").over(w)).join(parts, same).withColumn("_end", F.col("_end") + F.col("_before"))
 
     def covers(i: Column) -> Column:
         return (F.col("_end") - F.col("_c") <= i) & (i < F.col("_end"))
 
-    return ranked.groupBy(*keys, "_q").agg(
+    return ranked.groupBy(*group).agg(
         F.first("_pos").alias("_pos"),
         F.max(F.when(covers(F.floor("_pos")), F.col("_v"))).alias("_a"),
         F.max(F.when(covers(F.ceil("_pos")), F.col("_v"))).alias("_z"),
