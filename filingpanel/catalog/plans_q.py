@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.durable import shared_folder
 from ..operators import concepts as cp, stability as sb, training as tr
 from ..plans import concept_panel as pc, event_panel as pe, text_scores as pt
-from ..streaming.loss_monitor import loss_plateau_stream
+from ..streaming.loss_monitor import latest_status, loss_plateau_stream
 from . import views as v
 from .registry import oracle_sql, query
 from .views import with_views
@@ -112,4 +112,4 @@ def loss_stream(spark, d):
     )
     loss_plateau_stream(log, f"{place}/out", f"{place}/state", ["run"], ["ts", "event_id"], available_now=True
                         ).awaitTermination()
-    return _round(spark.read.parquet(f"{place}/out/status"), "improvement", "last10_mean", "last10_std")
+    return _round(latest_status(spark, f"{place}/out"), "improvement", "last10_mean", "last10_std")

@@ -67,7 +67,7 @@ def sentence(spark, d):
 
 
 def scored(spark, d):
-    return textscore.relevance_proxy(textscore.novelty_proxy(sentence(spark, d)))
+    return textscore.novelty_proxy(textscore.relevance_proxy(sentence(spark, d)))
 
 
 def sentence_embedding(spark, d):

@@ -241,11 +241,23 @@ def loss_plateau(log: DataFrame, run: list[str], step: list[str], window: int =
 
     Only the last ``2 * window`` points of a run reach its window.
     """
+    points = log.groupBy(*run).agg(F.count("*").alias("n_points"))
+    return plateau_of_tail(last_points(log, run, step, window), points, run, step, window, tol)
+
+
+def last_points(log: DataFrame, run: list[str], step: list[str], window: int = 10) -> DataFrame:
+    """The points of each run that the plateau check looks at."""
+    order = Window.partitionBy(*run).orderBy(*[F.desc(s) for s in step])
+    return log.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(2 * window, 10)).drop("_r")
+
+
+def plateau_of_tail(
+    points_kept: DataFrame, points: DataFrame, run: list[str], step: list[str], window: int = 10, tol: float = 0.001
+) -> DataFrame:
+    """``loss_plateau`` from ``last_points`` and a table with the number of points per run."""
     n = F.col("_r")
-    keep = max(2 * window, 10)
     order = Window.partitionBy(*run).orderBy(*[F.desc(s) for s in step])
-    tail = log.withColumn("_r", F.row_number().over(order)).where(n <= keep)
-    points = log.groupBy(*run).agg(F.count("*").alias("n_points"))
+    tail = points_kept.withColumn("_r", F.row_number().over(order))
     prev = F.avg(F.when((n > window) & (n <= 2 * window), F.col("loss")))
     recent = F.avg(F.when(n <= window, F.col("loss")))
     stats = tail.groupBy(*run).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as vx
 from ..functions.order import global_index
+from ..functions.durable import durable
 from ..functions.quantiles import exact_quantiles, sparse_quantile
 from .prepare import first_per_key
 from .textscore import SENTENCE_KEY
@@ -73,7 +74,11 @@ def document_features(
 
 
 def document_panel(sents: DataFrame, long: DataFrame, q: float = 0.9) -> DataFrame:
-    """Document scores with their features as a list of (feature_id, mean, freq)."""
+    """Document scores with their features as a list of (feature_id, mean, freq).
+
+    The activations are stored first: thresholds and sums read them, and the encoder shall run once.
+    """
+    long = durable(long)
     feats = document_features(sents, long, q)
     packed = feats.groupBy(*DOC_KEY).agg(  # at most one entry per feature of the model
         F.sort_array(F.collect_list(F.struct(

@@ -131,15 +131,17 @@ def relevance_score() -> Column:
     )
 
 
-def novelty_proxy(df: DataFrame, length_unit: str = "chars") -> DataFrame:
+def novelty_proxy(df: DataFrame, length_unit: str = "chars", keep_text: bool = False) -> DataFrame:
     """Distance of a sentence from its firm's text baseline plus specificity; rows without cik drop out.
 
     Only the per-firm table is aggregated; the join with it is left to adaptive
     execution, which broadcasts it if measured small and splits a hot firm if not.
+    Counters travel to the join, the text does not unless ``keep_text`` asks for it.
     """
     base = firm_text_baselines(df, length_unit)
-    counted = token_counts(df).drop("n_keywords")
-    return counted.join(base, "cik").withColumn("novelty_cln", novelty_score()).select(*df.columns, "novelty_cln")
+    kept = [c for c in df.columns if keep_text or c != "text"]
+    counted = token_counts(df).drop("n_keywords").select(*kept, "n_words", "n_numeric", "n_capitalised", "diversity")
+    return counted.join(base, "cik").withColumn("novelty_cln", novelty_score()).select(*kept, "novelty_cln")
 
 
 def relevance_proxy(df: DataFrame) -> DataFrame:

@@ -235,3 +235,21 @@ def test_membership_is_a_sample_without_replacement(vectors):
     _, df = vectors
     m = tr.replica_membership(df, [0, 1, 2], 0.8).toPandas()["_member"]
     assert [sum(v[i] for v in m) for i in range(3)] == [80, 80, 80]
+
+
+def test_no_change_between_filings_without_firm(spark):
+    rows = [(None, "item1", f"2020-01-0{i}", f"a{i}", [float(i), 1.0]) for i in range(1, 4)]
+    rows += [(7, None, "2020-02-01", "b", [1.0, 1.0]), (7, None, "2020-03-01", "c", [2.0, 1.0])]
+    rows += [(8, "item1", "2020-02-01", "d", [1.0, 1.0]), (8, "item1", "2020-03-01", "e", [4.0, 1.0])]
+    df = spark.createDataFrame(rows, "cik long, item_type string, filing_date string, accession_number string, z array<double>").withColumn(
+        "filing_date", F.to_date("filing_date"))
+    got = {r.accession_number: r.delta_z for r in pr.firm_diff(df).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {"e": [3.0, 0.0]}
+
+
+def test_null_years_are_on_neither_side_of_a_split(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 4 == 0 else 2000 + i % 10, float(rng.normal()), float(rng.normal())) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, year int, y double, x1 double")
+    r = rg.feature_selection(df, ["y"], ["x1"], split_year=2005, key=["id"]).first()
+    assert (r.n_train, r.n_test) == (sum(1 for x in rows if x[1] and x[1] < 2005), sum(1 for x in rows if x[1] and x[1] >= 2005))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filingpanel.operators import controls as ct, eventstudy as es, interpret as ip, prepare, quality as qa, results as rs, sampling as sp
 from filingpanel.operators import stability as sb, concepts as cp
 from filingpanel.sources import filings, metadata, store
-from filingpanel.streaming.loss_monitor import loss_plateau_stream
+from filingpanel.streaming.loss_monitor import latest_status, loss_plateau_stream
 
 DAY = dt.date(2020, 3, 1)
 
@@ -214,7 +214,7 @@ def test_loss_stream_follows_a_growing_log(spark, tmp_path):
         (src / f"{part}.csv").write_text(lines)
         log = spark.readStream.schema("run string, step long, loss double").csv(str(src))
         loss_plateau_stream(log, str(out), str(tmp_path / "ck"), available_now=True).awaitTermination()
-        status = spark.read.parquet(str(out / "status")).first()
+        status = latest_status(spark, str(out)).first()
         assert status["n_points"] == 15 * (part + 1)
         assert (status["improvement"] is None) == (part == 0)
     loss = [1.0 / (i + 1) for i in range(15)] + [0.04] * 15

@@ -35,7 +35,7 @@ def test_scores_in_one_pass_equal_the_separate_operators(docs):
     """Firm 1 holds a third of the documents."""
     sents = sentence_table(docs)
     key = ["accession_number", "item_type", "sentence_id"]
-    apart = ts.relevance_proxy(ts.novelty_proxy(sents)).select(*key, "novelty_cln", "relevance_kmnz")
+    apart = ts.novelty_proxy(ts.relevance_proxy(sents)).select(*key, "novelty_cln", "relevance_kmnz")
     for materialize in (True, False):
         once = score_sentences(sents, materialize).select(*key, "novelty_cln", "relevance_kmnz")
         a, b = (sorted(map(tuple, d.collect())) for d in (apart, once))
