@@ -69,7 +69,7 @@ goods AS (SELECT stratum, count(*) FILTER (good) AS n_good FROM counted JOIN mar
 sized AS (SELECT *, (SELECT 1 + count(*) FROM goods WHERE n_good > 0) AS n_strata FROM goods),
 tested AS (
   SELECT home AS stratum, rule, step, cut, count(*) FILTER (good AND stat > cut) AS k, count(*) FILTER (good) AS n,
-         count(*) FILTER (NOT good AND stat > cut) AS caught, max(n_strata) AS n_strata
+         count(*) FILTER (NOT good AND stat > cut) AS caught, count(*) FILTER (NOT good) AS n_bad, max(n_strata) AS n_strata
   FROM (SELECT s.*, m.good, z.n_strata,
                CASE WHEN n_good * ln(1 - {each}) <= ln({delta} / (n_strata * {len(rules)})) THEN s.stratum ELSE '(other)' END AS home
         FROM stats s JOIN marks m USING (doc_id) JOIN sized z USING (stratum) WHERE NOT base_failed) x JOIN cuts USING (rule)
@@ -78,9 +78,9 @@ passed AS (
   SELECT *, max(CASE WHEN n > 0 AND k < n * {each} AND list_sum(list_transform(range(0, k + 1), lambda j:
       exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({each}) + (n - j) * ln(1 - {each})))) <= {delta} / (n_strata * {len(rules)})
       THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS failed FROM tested),
-chosen AS (SELECT stratum, rule, max(cut) AS cut
-           FROM (SELECT *, max(caught) OVER (PARTITION BY stratum, rule) AS most FROM passed WHERE failed = 0)
-           WHERE caught = most AND caught > 0 GROUP BY stratum, rule),
+useful AS (SELECT *, caught / n_bad - {quality.GOOD_WEIGHT} * k / n AS benefit FROM passed WHERE failed = 0 AND caught > 0),
+chosen AS (SELECT stratum, rule, cut FROM useful WHERE benefit > 0
+           QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY benefit DESC, step) = 1),
 homes AS (SELECT stratum AS home FROM tested GROUP BY stratum),
 refused AS (
   SELECT DISTINCT s.doc_id FROM stats s

@@ -24,6 +24,7 @@ CUTOFFS = {
     "long_words": [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0],
 }
 ALPHA, DELTA, MIN_WORDS, MAX_TERMS = 0.02, 0.05, 50, 20000
+GOOD_WEIGHT = 10.0  # a share of good documents refused weighs as much as ten times that share of bad ones kept
 SPACE = r"[\x20\x09-\x0D]+"
 OTHER = "(other)"
 
@@ -116,7 +117,8 @@ def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
     ``labels``: doc_id, quality (1 good, 0 bad; null ignored; of several labels of a document the lowest counts).
     A stratum with too few good labels to certify even a cutoff without a single false rejection joins ``OTHER``.
-    Of the certified cutoffs the most lenient that still catches as many bad documents as the strictest is taken.
+    All certified cutoffs keep the guarantee; the one with the largest share of bad documents caught, less ``GOOD_WEIGHT``
+    times the share of good ones refused, is taken, the more lenient of equals.
     """
     rules, per_rule = list(CUTOFFS), alpha / len(CUTOFFS)
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -144,16 +146,17 @@ def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     good = F.col("good")
     tested = at.groupBy("stratum", "rule", "step").agg(
         F.sum(F.when(good & refused, F.col("n")).otherwise(0)).alias("k"), F.sum(F.when(good, F.col("n")).otherwise(0)).alias("n"),
-        F.sum(F.when(~good & refused, F.col("n")).otherwise(0)).alias("caught"), F.max("n_strata").alias("n_strata"))
+        F.sum(F.when(~good & refused, F.col("n")).otherwise(0)).alias("caught"),
+        F.sum(F.when(~good, F.col("n")).otherwise(0)).alias("n_bad"), F.max("n_strata").alias("n_strata"))
     level = delta / (F.col("n_strata") * len(rules))
     order = Window.partitionBy("stratum", "rule").orderBy("step")
     certified = (
         tested.withColumn("p", F.when(F.col("n") > 0, binomial_tail(F.col("k"), F.col("n"), per_rule)).otherwise(1.0))
-        .withColumn("failed", F.max(F.when(F.col("p") <= level, 0).otherwise(1)).over(order)).where("failed = 0")
-        .withColumn("most", F.max("caught").over(Window.partitionBy("stratum", "rule")))
-        .where("caught = most and caught > 0"))
+        .withColumn("failed", F.max(F.when(F.col("p") <= level, 0).otherwise(1)).over(order)).where("failed = 0 and caught > 0")
+        .withColumn("use", F.col("caught") / F.col("n_bad") - GOOD_WEIGHT * F.col("k") / F.col("n")))
     cuts = F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r), F.array(*map(F.lit, CUTOFFS[r])))]), F.col("rule"))
-    chosen = certified.groupBy("stratum", "rule").agg(F.min("step").alias("step")).withColumn("cut", F.element_at(cuts, F.col("step")))
+    best = F.max_by("step", F.struct("use", (-F.col("step")).alias("lenient")))
+    chosen = certified.where("use > 0").groupBy("stratum", "rule").agg(best.alias("step")).withColumn("cut", F.element_at(cuts, F.col("step")))
     picked = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in rules])
     # every stratum of the labels has a row, so that one without a certified rule does not fall back to OTHER
     own = merged.select("stratum").distinct()
