@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, drop_staged, id_text, slices, staged
 
 LENGTH, GRAM = 400, 100
-BLOCK = 1 << 20  # string starts that are worked on together
-RUN_BYTES, BUCKET_CONTEXTS, HOT_CONTEXTS, MATRIX = 16 << 20, 12_000, 20_000, 1 << 19
+SLICE_BYTES = 2 << 20
+BLOCK = 1 << 18  # string starts that are worked on together
+RUN_BYTES, BUCKET_CONTEXTS, HOT_CONTEXTS, MATRIX = 4 << 20, 6_000, 20_000, 1 << 18
 MULTIPLIER = 0x9E3779B97F4A7C15
 _M64 = 1 << 64
 
@@ -117,7 +118,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     know that all of it repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts, keys, rows = [], [], []
             for i, t in enumerate(as_bytes(batch.column("text"))):
                 k = hashlib.md5(t).digest()
@@ -284,7 +285,7 @@ def _extract(owned: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, size = [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             for text, contexts in zip(as_bytes(batch.column("text")), batch.column("contexts").to_pylist()):
                 for c in contexts:
                     anchor, first, last = unpack_code(c["code"])
@@ -407,7 +408,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_con
     joined = keyed.join(spans, F.col("text_key") == F.col("_key"), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sizes, removed, counts, kept = [], [], [], []
             for text, found in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
                 cut = united([(s["start"], s["end"]) for s in found or ()])
