@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .durable import durable
+
 _PREFIX = 4  # hex digits: 65,536 buckets, a fixed bound for the bucket table
 
 
@@ -28,21 +30,26 @@ def _lowest_buckets(df: DataFrame, limit: Column | int, rank: str, extra: DataFr
 def lowest_ranked(df: DataFrame, limit: int | Column, rank: Column) -> DataFrame:
     """The ``limit`` rows with the lowest rank; ``limit`` may use the row count ``_total``.
 
-    Row counts per rank prefix tell which prefixes lie wholly inside the sample;
-    only the one prefix that is cut needs sorting.
+    The ranks alone are written out and give the rank where the sample ends: row counts per rank prefix tell which
+    prefix is cut, and only that one is sorted. The rows themselves are then read once more, with a filter.
     """
     ranked = df.withColumn("_rank", rank)
-    buckets = _lowest_buckets(ranked, limit, "_rank")
-    joined = ranked.join(
-        F.broadcast(buckets), F.substring("_rank", 1, _PREFIX) == F.col("_b")  # at most 65,536 rows
-    )
-    whole = joined.where(F.col("_before") + F.col("_c") <= F.col("_limit"))
-    cut = joined.where(F.col("_before") + F.col("_c") > F.col("_limit"))
-    cut = (
-        cut.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_rank")))
-        .where(F.col("_before") + F.col("_n") <= F.col("_limit"))
-    )
-    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+    ranks = durable(ranked.select("_rank"))
+    buckets = durable(_lowest_buckets(ranks, limit, "_rank"))  # at most 65,536 rows
+    full = F.col("_before") + F.col("_c") <= F.col("_limit")
+    cut = ranks.join(F.broadcast(buckets.where(~full)), F.substring("_rank", 1, _PREFIX) == F.col("_b"))
+    cut = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_rank"))).where(
+        F.col("_before") + F.col("_n") <= F.col("_limit"))
+    whole = buckets.where(full).agg(F.max("_b")).first()[0]
+    end, taken = cut.agg(F.max("_rank"), F.max_by(F.struct("_before", "_n"), F.struct("_rank", "_n"))).first()
+    if end is None:
+        return ranked.where(F.substring("_rank", 1, _PREFIX) <= F.lit(whole)).select(*df.columns)
+    below, equal = ranks.agg(F.count_if(F.col("_rank") < end), F.count_if(F.col("_rank") == end)).first()
+    room = taken["_before"] + taken["_n"] - below
+    if room >= equal:
+        return ranked.where(F.col("_rank") <= end).select(*df.columns)
+    last = ranked.where(F.col("_rank") == end).limit(room)  # rows that repeat one key
+    return ranked.where(F.col("_rank") < end).unionByName(last).select(*df.columns)
 
 
 def hash_position(df: DataFrame, rank: Column, name: str) -> DataFrame:
