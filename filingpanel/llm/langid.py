@@ -140,16 +140,24 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id",
                 [batch.column("draw"), batch.column("lang"), pa.array([b.astype(np.int32) for b, _ in bags], pa.list_(pa.int32())),
                  pa.array([c.astype(np.int32) for _, c in bags], pa.list_(pa.int32()))], ["draw", "lang", "bucket", "count"])
 
-    rows = chosen.mapInArrow(count, "draw double, lang string, bucket array<int>, count array<int>").collect()
-    rows = sorted((r for r in rows if r["bucket"]), key=lambda r: (r["draw"], r["lang"], r["bucket"]))
-    bags = [(np.array(r["bucket"]), (c := np.array(r["count"], np.float32)) / c.sum()) for r in rows]
-    labels = np.array([langs.index(r["lang"]) for r in rows], np.int64)
+    drawn = chosen.mapInArrow(count, "draw double, lang string, bucket array<int>, count array<int>").toArrow()
+    rows = sorted(
+        ((draw, lang, tuple(bucket[:8].tolist()), bucket, count) for draw, lang, bucket, count in zip(
+            drawn.column("draw").to_pylist(), drawn.column("lang").to_pylist(), _arrays(drawn.column("bucket")),
+            _arrays(drawn.column("count"))) if len(bucket)), key=lambda r: r[:3])
+    bags = [(bucket, (count / count.sum()).astype(np.float32)) for _, _, _, bucket, count in rows]
+    labels = np.array([langs.index(lang) for _, lang, *_ in rows], np.int64)
     part = np.arange(len(rows)) % 5 == 4
     table, bias = train([b for b, p in zip(bags, part) if not p], labels[~part], len(langs))
     z = np.array([share @ table[at] + bias for (at, share), p in zip(bags, part) if p]).reshape(-1, len(langs))
     return Model(langs, table, bias, *calibrate(z, labels[part]))
 
 
+def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    for chunk in column.chunks:
+        yield from (x.values.to_numpy() for x in chunk)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` per row, from the text alone.
 
