@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 from .common import as_bytes, id_text, shipped, slices, staged
 
-CAPACITY, END_ID, GROUP_PIECES, MAX_CACHED = 4096, 1, 16384, 1_000_000
+CAPACITY, END_ID, GROUP_PIECES, MAX_CACHED = 4096, 1, 4096, 1_000_000
 END_MARKS = b".,;:!?#$%&*+-=()[]{}/\"^_~"  # no apostrophe (contractions), nothing of the special tokens' <|>
 EASY_CASE = re.compile("[\x00-\u012f\u0131-\u0148]*").fullmatch  # letters whose case does not depend on context
 # Byte-level vocabularies write the bytes that Latin-1 does not print as the characters from 256 on.
