@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import duckdb
@@ -15,13 +16,14 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, shipped, slices
 
-MAX_CACHED = 500_000  # words or pieces kept per worker
+MAX_CACHED = 1_000_000  # words or pieces kept per worker
 SHORT_PIECE = 64  # bytes; longer pieces take the query whose state is one row per position
 SLICE_BYTES, MEMORY = 3 << 20, "400MB"
 _CODECS: dict[str, "Codec"] = {}
 
 # White space that the fast path understands: single spaces inside a line, single line breaks between lines.
-UNUSUAL_SPACE = regex.compile(r"[^\S \n]|  | \n|\n |\n\n|^\s|\s$", regex.V0)
+OTHER_SPACE = re.compile(r"[^\S \n]")
+DOUBLE_SPACES = ("  ", " \n", "\n ", "\n\n")
 
 # One contraction per piece and step: the leftmost pair of minimum rank. Token positions are unnested and join the
 # merge table; a piece without a pair that can merge leaves the recursion.
@@ -29,9 +31,10 @@ SHORT_SQL = """
 WITH RECURSIVE bpe AS (
   SELECT piece, list(token ORDER BY pos) AS tokens, 0 AS step FROM start GROUP BY piece
   UNION ALL
-  (WITH positions AS (SELECT piece, tokens, unnest(range(1, len(tokens))) AS i FROM bpe),
+  (WITH positions AS (SELECT piece, unnest(tokens[:-2]) AS token, unnest(tokens[2:]) AS next_token,
+                             unnest(range(1, len(tokens))) AS i FROM bpe),
         best AS (SELECT piece, min(m.rank * 4294967296::BIGINT + i) AS found
-                 FROM positions JOIN merges m ON m.pair = tokens[i]::BIGINT * 16777216 + tokens[i + 1] GROUP BY piece)
+                 FROM positions JOIN merges m ON m.pair = token::BIGINT * 16777216 + next_token GROUP BY piece)
    SELECT piece, tokens[:(found & 4294967295) - 1] || [(found >> 32)::INTEGER] || tokens[(found & 4294967295) + 2:], step + 1
    FROM bpe JOIN best USING (piece))
 )
@@ -138,7 +141,7 @@ class Codec:
 
     def _split(self, text: str) -> tuple[list[str], list[str]] | None:
         """Words at the start of a line, and words after a space; None if the white space is unusual."""
-        if not text or UNUSUAL_SPACE.search(text):
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in DOUBLE_SPACES) or OTHER_SPACE.search(text):
             return None
         return [line.split(" ") for line in text.split("\n")]
 
