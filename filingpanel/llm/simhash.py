@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -15,11 +16,14 @@ from .common import as_bytes, id_text, slices, staged
 from .components import components
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
-# Groups at a similarity: shingles of five words, fingerprints of 256 bits of which four fifths agree, shards by minima.
+# Groups at a Jaccard similarity: shingles of five words, shards by minima, candidates by fingerprints of 256 bits.
 WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, MINIMA = 5, 4, 0.8, 6
 TREE_SIZE = 2048  # members of one tree
 QUERY_ROWS = 1024  # queries that walk a tree together
 COUNT_ROWS = 1 << 15
+SHORT = 80  # queries of fewer shingles are compared with a whole tree: few hashes make their fingerprints too coarse
+TREE_SHINGLES, QUERY_SHINGLES = 1 << 22, 1 << 20  # of the members of one tree, of the queries that walk it together
+LINK_PARTS = 1024  # arrays of links sent on together
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -76,6 +80,49 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1, minima:
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp array<long>, minima array<long>")
 
 
+def shingle_sets(docs: DataFrame, width: int, words: int, minima: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, k1, k2, n, fp, minima`` per row, all of the set of shingles, without repeats: its 128-bit hash, its size,
+    its fingerprint, and its smallest shingles under ``minima`` hash functions. Null text has the empty set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            n = np.zeros(batch.num_rows, np.int64)
+            key, fps, least = (np.zeros((batch.num_rows, k), np.uint64) for k in (2, words, minima))
+            for i, t in enumerate(as_bytes(batch.column("text"))):
+                hashes = np.unique(shingle_hashes(t, width))
+                key[i], n[i] = _set_key(hashes), len(hashes)
+                for j in range(words):
+                    fps[i, j] = _majority(_mixed(hashes, j) if j else hashes)[0]
+                for j in range(minima if len(hashes) else 0):
+                    least[i, j] = _mixed(hashes, words + j).min()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *_longs(key), pa.array(n), _lists(fps), _lists(least)], ["doc_id", "k1", "k2", "n", "fp", "minima"])
+
+    df = id_text(docs, id_col, text_col)
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, fp array<long>, minima array<long>")
+
+
+def _members_of_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``k1, k2, shingles`` per row: the sorted hashes of its set of shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            sets = [np.unique(shingle_hashes(t, width)) for t in as_bytes(batch.column("text"))]
+            key = np.array([_set_key(s) for s in sets], np.uint64).reshape(-1, 2)
+            offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+            flat = pa.array(np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*_longs(key), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["k1", "k2", "shingles"])
+
+    return id_text(docs, id_col, text_col).mapInArrow(run, "k1 long, k2 long, shingles array<long>")
+
+
+def _set_key(hashes: np.ndarray) -> tuple[int, int]:
+    whole = xxhash.xxh128_intdigest(hashes.tobytes(), SEED)
+    return whole >> 64, whole & (1 << 64) - 1
+
+
+def _longs(rows: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T]
+
+
 def _lists(rows: np.ndarray) -> pa.Array:
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.view(np.int64).ravel()))
@@ -109,17 +156,18 @@ class BKTree:
                     self.children[root].append((edge, int(child[0])))
                     stack.append(child)
 
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(node, positions of the queries within ``radius`` of it), node by node."""
+    def within(self, queries: np.ndarray, radius: int | np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(node, positions of the queries within ``radius`` of it), node by node. ``radius``: of all queries or of each."""
         stack = [(0, np.arange(len(queries)))] if len(self.members) and len(queries) else []
         while stack:
             node, at = stack.pop()
             d = distance(queries[at], self.members[node])
-            hit = at[d <= radius]
+            limit = radius[at] if isinstance(radius, np.ndarray) else radius
+            hit = at[d <= limit]
             if hit.size:
                 yield node, hit
             for edge, child in self.children[node]:
-                near = at[np.abs(d - edge) <= radius]
+                near = at[np.abs(d - edge) <= limit]
                 if near.size:
                     stack.append((child, near))
 
@@ -232,18 +280,174 @@ def _solve(rows: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
-def _named(rows: DataFrame, keys: Column, radius: int) -> DataFrame:
-    """``doc_id, fp, component_id`` from staged fingerprints of documents."""
-    classes = staged(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("minima").alias("minima"))
-        .withColumn("node", F.monotonically_increasing_id()), "classes")
-    labels = components(links(classes, keys, radius))
+class SetTree:
+    """A shard tree whose links are confirmed by the Jaccard similarity of the shingle sets.
+
+    ``sets``: fingerprints, names, sizes and the concatenated sorted shingles of the members. Links are stars as in
+    ``tree_links``: what is known to be in one component is not compared again.
+    """
+
+    def __init__(self, sets: list[np.ndarray], similarity: float, radius: int):
+        fp, self.names, self.sizes, flat = sets
+        self.similarity, self.radius = similarity, radius
+        self.tree, self.label = BKTree(fp), np.arange(len(fp))
+        self.vocabulary, own = np.unique(flat, return_inverse=True)
+        self.own = np.split(own, np.cumsum(self.sizes)[:-1])
+        self.mark = np.zeros(len(self.vocabulary) + 1, bool)  # the last is for shingles that no member has
+
+    def visit(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Links of queries to one member each; members that a query connects get one label."""
+        fp, names, sizes, flat = sets
+        place = np.searchsorted(self.vocabulary, flat)
+        place[self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] != flat] = len(self.vocabulary)
+        starts, first, label = np.cumsum(sizes) - sizes, np.full(len(fp), -1), self.label
+        radii = np.where(sizes < SHORT, BITS * fp.shape[1], self.radius)
+        for node, hit in self.tree.within(fp, radii):
+            known, size = first[hit], self.sizes[node]
+            fits = np.minimum(sizes[hit], size) >= self.similarity * np.maximum(sizes[hit], size) - 1e-9
+            hit = hit[fits & ((known < 0) | (label[known] != label[node]))]
+            if hit.size:
+                hit = hit[self._similar(node, place, starts[hit], sizes[hit])]
+            if hit.size:
+                known = first[hit]
+                first[hit[known < 0]] = node
+                joined = np.unique(np.append(label[known[known >= 0]], label[node]))
+                if joined.size > 1:
+                    label[np.isin(label, joined)] = joined[0]
+        hit = first >= 0
+        return names[hit], self.names[first[hit]]
+
+    def closing(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the members."""
+        return self.names, self.names[self.label]
+
+    def _similar(self, node: int, place: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        own, ends = self.own[node], np.cumsum(sizes)
+        self.mark[own] = True
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
+        common = np.add.reduceat(self.mark[place[at]], ends - sizes, dtype=np.int64)
+        self.mark[own] = False
+        return common >= self.similarity * (len(own) + sizes - common) - 1e-9
+
+
+class ProbeTree:
+    """A shard tree that only tells which classes have a candidate: as links to -1. Sets come without their shingles."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float, radius: int):
+        fp, self.names, self.sizes, _ = sets
+        self.similarity, self.radius = similarity, radius
+        self.tree, self.met = BKTree(fp), np.zeros(len(fp), bool)
+
+    def visit(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        fp, names, sizes, _ = sets
+        met = np.zeros(len(fp), bool)
+        for node, hit in self.tree.within(fp, np.where(sizes < SHORT, BITS * fp.shape[1], self.radius)):
+            size = self.sizes[node]
+            fits = np.minimum(sizes[hit], size) >= self.similarity * np.maximum(sizes[hit], size) - 1e-9
+            hit = hit[fits & (names[hit] != self.names[node])]
+            if hit.size:
+                met[hit] = self.met[node] = True
+        return names[met], np.full(int(met.sum()), -1)
+
+    def closing(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.names[self.met], np.full(int(self.met.sum()), -1)
+
+
+def _pieces(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Cut so that a piece has at most ``QUERY_ROWS`` sets and about ``QUERY_SHINGLES`` shingles."""
+    fp, names, sizes, flat = sets
+    ends, a = np.cumsum(sizes), 0
+    while a < len(fp):
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, min(a + QUERY_ROWS, int(np.searchsorted(ends, done + QUERY_SHINGLES, "right"))))
+        yield [fp[a:b], names[a:b], sizes[a:b], flat[done:int(ends[b - 1])]]
+        a = b
+
+
+def set_links(sets: DataFrame, met: DataFrame, similarity: float, radius: int, kind: type = SetTree) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all pairs of classes that share a shard, lie within ``radius`` (short
+    ones at any distance), and have a Jaccard similarity of at least ``similarity``.
+
+    ``met``: node, band, value and the number of trees of each shard; ``sets``: node, fp, and shingles or, for ``ProbeTree``,
+    their number n. Members come first;
+    the other fingerprints of a split shard go through the tree piece by piece and are not held.
+    """
+    own, content = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"), sets.columns[2]
+    dealt = (
+        met.join(sets, "node").withColumn("own", own)
+        .select("node", "fp", content, "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
+        .select("band", "value", "tree", (F.col("own") != F.col("tree")).alias("guest"), "node", "fp", content)
+        .repartition("band", "value", "tree").sortWithinPartitions("band", "value", "tree", "guest", "node")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        shard, members, tree = None, [], None
+
+        def grown() -> SetTree | ProbeTree | None:
+            """The tree of the members, which have walked it."""
+            whole = [np.concatenate(p) for p in zip(*members)]
+            members.clear()
+            new = kind(whole, similarity, radius) if whole else None
+            if new and len(whole[0]) > 1:
+                links.extend(map(new.visit, _pieces(whole)))
+            return new
+
+        def leave() -> None:
+            done = grown() if members else tree
+            if done:
+                links.append(done.closing())
+
+        for batch in batches:
+            keys = [np.asarray(batch.column(c)) for c in ("band", "value", "tree")]
+            guest, node = np.asarray(batch.column("guest")), np.asarray(batch.column("node"))
+            fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            column = batch.column(content)
+            if content == "shingles":
+                flat, ends = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy().astype(np.int64)
+                ends = ends - ends[0]
+                sizes = np.diff(ends)
+            else:
+                flat, ends, sizes = np.empty(0, np.uint64), np.zeros(batch.num_rows + 1, np.int64), np.asarray(column)
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in (*keys, guest)], axis=0)) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                now = tuple(int(k[a]) for k in keys)
+                if now != shard:
+                    leave()
+                    shard, tree = now, None
+                    members.clear()
+                part = [fp[a:b], node[a:b], sizes[a:b], flat[ends[a]:ends[b]]]
+                if not guest[a]:
+                    members.append(part)
+                else:
+                    tree = grown() if members else tree
+                    if tree:
+                        links.extend(map(tree.visit, _pieces(part)))
+            if len(links) > LINK_PARTS:
+                yield _edges(links)
+                links.clear()
+        leave()
+        if links:
+            yield _edges(links)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _edges(links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = map(np.concatenate, zip(*links))
+    keep = a != b
+    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+
+def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the ``component_id`` of their class; ``found``: links between the classes."""
+    labels = components(found)
     # every class with the root of its component; roots and lonely classes are their own
     rooted = staged(
-        classes.select("fp", "node", "first_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        classes.select(*key, "node", "first_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     smallest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
-    named = staged(rooted.join(smallest, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = staged(rooted.join(smallest, "root").select(*key, "component_id"), "named")
+    return rows.join(named, key)
 
 
 def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
@@ -256,21 +460,46 @@ def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     as they come. An empty table gives an empty result.
     """
     rows = staged(fingerprints(docs, width, id_col=id_col, text_col=text_col), "fingerprints")
-    found = _named(rows, shard_keys(F.col("fp")[0], radius), radius)
-    return found.withColumn("fp", F.col("fp")[0])
+    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = links(classes, shard_keys(F.col("fp")[0], radius), radius)
+    return _named(rows, classes, found, ["fp"]).select("doc_id", F.col("fp")[0].alias("fp"), "component_id")
 
 
 def similar_components(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY, words: int = WIDE_WORDS,
                        minima: int = MINIMA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id``: documents whose fingerprints of 64 * ``words`` bits agree in a share ``similarity`` of the bits.
+    """``doc_id, component_id``: components of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    That many differing bits are too many for keys cut from the fingerprint. The shards are the smallest shingles under
-    ``minima`` hash functions: two texts with a Jaccard similarity of s share one with probability
-    1 - (1 - s)^minima, over 0.9999 at 0.8. Edge cases as in ``near_components``.
+    Every link is confirmed by comparing the sets. Candidates share the smallest shingle under one of ``minima`` hash
+    functions (two texts with a similarity of s share one with probability 1 - (1 - s)^minima, over 0.9999 at 0.8) and
+    lie within ``search_radius`` of their fingerprints of 64 * ``words`` bits, short texts at any distance. Sets are made
+    only for texts that have a candidate. Texts of one set are one class; those without words are one too.
+    Edge cases as in ``near_components``.
     """
-    rows = staged(fingerprints(docs, width, words, minima, id_col, text_col), "fingerprints")
-    keys = F.transform("minima", lambda x, i: F.struct(i.alias("band"), x.alias("value")))
-    return _named(rows, keys, int(64 * words * (1 - similarity) + 1e-9)).select("doc_id", "component_id")
+    rows = staged(shingle_sets(docs, width, words, minima, id_col, text_col), "shingle-sets")
+    same = [F.first(c).alias(c) for c in ("n", "fp", "minima")]  # equal in all rows of a class
+    classes = staged(
+        rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *same).withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = classes.where("n > 0").select("node", "n", F.posexplode("minima").alias("band", "value"))
+    shards = staged(
+        keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1")
+        .select("band", "value", F.greatest(F.ceil(F.col("c") / TREE_SIZE), F.ceil(F.col("n") / TREE_SHINGLES)).cast("int").alias("trees")), "shards")
+    met = staged(keyed.join(shards, ["band", "value"]).select("node", "band", "value", "trees"), "met")
+    radius = search_radius(similarity, 64 * words)
+    probed = staged(set_links(classes.select("node", "fp", "n"), met, similarity, radius, ProbeTree).select(F.col("a").alias("node")).distinct(), "probed")
+    met = staged(met.join(probed, "node", "left_semi"), "met-again")
+    needed = staged(classes.join(probed, "node").select("node", "first_id", "k1", "k2", "fp"), "needed")
+    wanted = needed.select(F.col("first_id").alias("_wanted")).distinct()
+    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    made = _members_of_sets(some, width, "_id", "_text").dropDuplicates(["k1", "k2"])
+    sets = staged(needed.join(made, ["k1", "k2"]).select("node", "fp", "shingles"), "sets")
+    found = set_links(sets, met, similarity, radius)
+    return _named(rows, classes, found, ["k1", "k2"]).select("doc_id", "component_id")
+
+
+def search_radius(similarity: float, bits: int) -> int:
+    """Differing bits of two equally large sets of that similarity, plus four standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -129,3 +129,69 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     out = simhash.near_dedup(df)
     assert out.columns == df.columns and sorted(r.doc_id or -1 for r in out.collect()) == [-1, 2, 3]
     assert simhash.near_dedup(df.limit(0)).count() == 0
+
+
+def shingle_set(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard_components(ids, texts, similarity=0.8):
+    """By comparing all pairs of shingle sets."""
+    sets = [shingle_set(t) for t in texts]
+    near = [[a == b or len(a & b) >= similarity * len(a | b) - 1e-9 for b in sets] for a in sets]
+    out = []
+    for i in range(len(ids)):
+        seen, todo = {i}, [i]
+        while todo:
+            more = {j for j, n in enumerate(near[todo.pop()]) if n} - seen
+            seen |= more
+            todo += more
+        out.append(min((ids[j] for j in seen if ids[j] is not None), default=None))
+    return out
+
+
+def shared_passages(rng, shares, size=300):
+    """Pairs of texts of new words that have a passage of the given share of their words in common."""
+    out, word = [], lambda: f"w{rng.randrange(10**7)}"
+    for share in shares:
+        passage = [word() for _ in range(round(size * share))]
+        out += [" ".join(passage + [word() for _ in range(size - len(passage))]) for _ in range(2)]
+    return out
+
+
+def test_similarity_is_that_of_the_shingle_sets(spark):
+    rng = random.Random(12)
+    # an overlap of s shared words gives a Jaccard similarity of about s / (2 - s): 0.60 to 0.85 and short texts
+    shares = [2 * j / (1 + j) for j in (0.6, 0.65, 0.7, 0.75, 0.79, 0.81, 0.83, 0.85) for _ in range(12)]
+    texts = shared_passages(rng, shares) + shared_passages(rng, [0.85, 0.9, 0.95] * 10, 24)
+    passage = [f"hot{i}" for i in range(200)]  # in many texts, at a similarity of 0.66
+    texts += [" ".join(passage + [f"own{rng.randrange(10**7)}" for _ in range(50)]) for _ in range(40)]
+    texts += ["", None, "\n", "one", "one", "one two", "ab " * 200, "ab " * 90]
+    ids = rng.sample(range(10000), len(texts))
+    ids[1] = ids[4] = None
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.similar_components(df).collect())
+    want = jaccard_components(ids, texts)
+    assert got == sorted(zip(map(str, ids), map(str, want)))
+    assert 20 < sum(i != c for i, c in zip(ids, want) if i is not None) < 100
+
+
+def test_texts_of_one_fingerprint_are_compared_by_their_sets(spark):
+    # a passage repeated often decides every bit of a fingerprint with repeats: these texts were one class
+    rng = random.Random(13)
+    tails = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(90)) for _ in range(6)]
+    texts = ["ab " * 400 + t + end for t in tails for end in ("", " more")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(12)}
+
+
+def test_split_set_shards_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = near_texts(rng, 3, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(jaccard_components(list(range(len(texts))), texts)))
+    for name, value in (("TREE_SIZE", 7), ("TREE_SHINGLES", 900)):
+        monkeypatch.setattr(simhash, name, value)
+        assert {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()} == want
