@@ -33,6 +33,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
+# Characters of an IBAN by country.
+IBAN_LENGTH = {country: int(n) for n, countries in {
+    "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH CR HR LI LV",
+    "22": "BG BH DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG",
+    "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU"}.items() for country in countries.split()}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 WORDS = {kind: re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, words)) + r")(?![a-z])")
          for kind, words in CONTEXT.items()}
@@ -71,6 +77,25 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers whose check digits hold, each at most once.
+
+    Upper-case words and numbers behind an IBAN look like further groups, so every group boundary of a match is tried:
+    that of the country's length first, then from the longest down. Without any, the search goes on right behind the start,
+    as what looks like a group can be the start of an IBAN.
+    """
+    m = IBAN.search(text)
+    while m:
+        start, size = m.start(), IBAN_LENGTH.get(m.group()[:2])
+        ends = [m.end(), *(i for i in range(m.end() - 1, start, -1) if text[i] == " ")]
+        compact = [(end, text[start:end].replace(" ", "")) for end in ends]
+        compact.sort(key=lambda c: len(c[1]) != size)
+        end = next((end for end, c in compact if 15 <= len(c) <= 34 and mod97(c)), None)
+        if end:
+            yield start, end
+        m = IBAN.search(text, end or start + 1)
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in emails(text):
         yield "email", start, end
@@ -85,10 +110,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in PHONE.finditer(text):
         if 9 <= len(DIGITS.findall(m.group())) <= 15:
             yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        compact = m.group().replace(" ", "")
-        if 15 <= len(compact) <= 34 and mod97(compact):
-            yield "iban", m.start(), m.end()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         yield "ssn", m.start(), m.end()
 

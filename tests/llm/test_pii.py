@@ -77,3 +77,17 @@ def test_rows(spark, tmp_path):
     assert {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}[99] == (None, None)
     assert all(len(r.text) == r.n_chars for r in clean.where("text is not null").collect())
     assert pii.pii_spans(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("behind", [" EUR 500", " BIC COBADEFF", " I said", " 500", " USD", " BIC COBADEFFXXX", " A B C D E F", "", ".", " GB"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+                                  "GB82 WEST 1234 5698 7654 32"])
+def test_iban_before_words_and_numbers(iban, behind):
+    assert [s[:3] for s in pii.find("x " + iban + behind) if s[0] == "iban"] == [("iban", 2, 2 + len(iban))]
+
+
+def test_iban_behind_what_looks_like_its_start():
+    t = "REF AB12 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"
+    assert [t[s[1]:s[2]] for s in pii.find(t) if s[0] == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert [s for s in pii.find("DE88 3704 0044 0532 0130 00 EUR 500 BIC") if s[0] == "iban"] == []
+    pii.find("AB12 " * 40000)
