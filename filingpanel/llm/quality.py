@@ -4,7 +4,8 @@ A rule rejects a document whose statistic lies above a cutoff. The cutoffs are t
 documents: testing from the most lenient cutoff on, a cutoff is certified while the exact binomial test rejects
 "more than ``alpha`` of the good documents of this stratum would be refused". Going in a fixed order needs no
 correction within a rule; ``delta`` is divided by the number of (stratum, rule) sequences, and ``alpha`` among the
-rules, so with probability 1 - delta no stratum loses more than ``alpha`` of its good documents.
+rules, so with probability 1 - delta no tested stratum loses more than ``alpha`` of its good documents. Strata with few
+labels are tested as one pool: the bound holds for the pool, not for each of its members or for strata without labels.
 """
 
 from __future__ import annotations
