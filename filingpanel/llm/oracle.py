@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality
+from . import filter_audit, licenses, quality
 
 
 def _text(value: str) -> str:
@@ -90,3 +90,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM refused) AS kept
 FROM counted
 """
+
+
+def filter_audit_sql() -> str:
+    """Every order applied step by step to the sets of failed filters; shares as plain sums over the orders."""
+    letters = " CROSS JOIN ".join(f"(SELECT unnest({_list(list(filter_audit.FILTERS))}) AS f{i})" for i in range(1, 6))
+    apart = " AND ".join(f"f{i} <> f{j}" for i in range(1, 6) for j in range(i + 1, 6))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS again FROM t),
+marks AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, doc_id,
+         (CASE WHEN len(words) < {filter_audit.MIN_WORDS} THEN 'A' ELSE '' END)
+         || (CASE WHEN 100 * len(list_distinct(words)) < {filter_audit.DISTINCT_PERCENT} * len(words) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {filter_audit.UPPER_PERCENT} * length(t) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN again THEN 'E' ELSE '' END) AS fails
+  FROM w),
+groups AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS n_good, coalesce(sum(toxic), 0) AS n_toxic
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, fails),
+orders AS (SELECT f1 || f2 || f3 || f4 || f5 AS filter_order FROM {letters} WHERE {apart}),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+gone AS (
+  SELECT part, fails, n, n_good, n_toxic, filter_order,
+         CASE WHEN fails = '' THEN 9 ELSE list_min(list_transform(string_split(fails, ''), lambda f: instr(filter_order, f))) END AS first_step
+  FROM groups CROSS JOIN orders),
+counted AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS f,
+         sum(CASE WHEN first_step > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first_step = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN first_step < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN first_step = step THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN first_step = step THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM gone JOIN steps USING (filter_order) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
