@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, filter_audit, langid, licenses, oracle, packing, pii, prefix_trie, quality, simhash, suffixes, warc
+from . import bpe, exact_dedup, filter_audit, html_extract, langid, licenses, oracle, packing, pii, prefix_trie, quality, simhash, suffixes, warc
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -82,6 +82,10 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 WINDOW w AS (PARTITION BY t)
 """
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -93,7 +97,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_warc": op4_warc, "op5_pii": op5_pii,
     "op6_packing": op6_packing, "op7_langid": op7_langid, "op8_licenses": op8_licenses, "op9_suffixes": op9_suffixes,
-    "op10_exact_dedup": op10_exact_dedup, "op12_filter_audit": op12_filter_audit,
+    "op10_exact_dedup": op10_exact_dedup, "op11_html": op11_html, "op12_filter_audit": op12_filter_audit,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
