@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import filings, market as mkt, metadata as md, store
+from ..functions.durable import durable_folder
+from ..sources import archive, filings, market as mkt, metadata as md, store
 from . import views as v
 from .registry import query
 from .views import with_views
@@ -149,3 +150,19 @@ def standard_annual(spark, d):
         F.when(F.col("o_orderpriority").startswith("5"), "SUMM_STD").otherwise("STD").alias("datafmt"),
         F.when(F.col("o_custkey") % 5 == 0, "I").otherwise("D").alias("popsrc"),
         F.when(F.col("o_orderkey") % 4 == 0, "P").otherwise("C").alias("consol")))
+
+
+@query("filing_archive", with_views("""
+  select accession_number, try_cast(ltrim(split_part(accession_number, '-', 1), '0') as bigint) as cik, year, item_type,
+         cast(length(t) as int) as text_length, md5(t) as text_md5
+  from (select *, regexp_replace(text, '^[\\x09-\\x0D\\x1C-\\x20\\x{85}\\p{Z}]+|[\\x09-\\x0D\\x1C-\\x20\\x{85}\\p{Z}]+$', '', 'g') as t from document)
+  where t <> ''"""))
+def filing_archive(spark, d):
+    """The filings written as zip archives per item, and read back by ranges of members."""
+    folder, parts = durable_folder(spark), []
+    docs = v.document(spark, d).withColumn("path", F.concat_ws("/", "item_type", "year", F.concat("accession_number", F.lit(".txt"))))
+    for item in ("item1", "item1A", "item7"):
+        archive.write_archives(docs.where(F.col("item_type") == item).select("path", F.col("text").alias("content")), f"{folder}/{item}")
+        parts.append(filings.read_filing_archives(spark, f"{folder}/{item}", item))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+        "accession_number", "cik", "year", "item_type", "text_length", F.md5("text").alias("text_md5"))

@@ -21,12 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="filingpanel-"))
 
 
+def durable_folder(spark: SparkSession) -> str:
+    """Name of a new folder in the shared one, that ``clear_durable`` deletes."""
+    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files: columns stay apart, so later reads are pruned."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+    path = durable_folder(spark)
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import strip
+from . import archive
 
 
 def cik_of_accession(accession: Column) -> Column:
@@ -66,17 +66,18 @@ def read_filings(spark: SparkSession, path: str, item_type: str) -> DataFrame:
     return _as_documents(files.mapInPandas(decode, "path string, text string"), item_type)
 
 
-def read_filing_archives(spark: SparkSession, path: str, item_type: str) -> DataFrame:
-    """Documents from zip archives; each archive is one task, members are streamed one by one."""
+def read_filing_archives(spark: SparkSession, path: str, item_type: str, member_bytes: int = archive.MEMBER_BYTES) -> DataFrame:
+    """Documents from zip archives, of one file or all in a folder; bytes that are not UTF-8 are ignored.
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith(".txt"):
-                            text = z.read(name).decode("utf-8", "ignore")
-                            yield pd.DataFrame({"path": ["/" + name], "text": [text]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    return _as_documents(files.mapInPandas(unpack, "path string, text string"), item_type)
+    The members of an archive are dealt to tasks by about ``member_bytes`` of packed text; those that cannot be read
+    (``archive.read_members`` tells why) and empty ones are left out.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], ["path", "text"])
+
+    members = archive.read_members(spark, path, ".txt", member_bytes).where("error IS NULL")
+    named = members.select(F.concat(F.lit("/"), F.col("path")).alias("path"), "content")
+    return _as_documents(named.mapInArrow(decode, "path string, text string"), item_type)
