@@ -82,14 +82,67 @@ def pricing_forward_fixed(spark, d):
     return _flat(_forward(spark, d)[1])
 
 
-@query("pricing_pooled_cv")
+# The first is the package's own path for panels of named columns, the other one keeps the matrices in tiles.
+@query("pricing_forward_tiles", with_views(f"""with {_FWD_M}
+  select year, fold, round(w0, 9) as intercept, round(w1, 9) as w1, round(w2, 9) as w2, cast(n as bigint) as n_train
+  from fwd_m"""))
+def pricing_forward_tiles(spark, d):
+    return _flat(pr.pricing_forward(_frame(spark, d), "z", "y", alphas=(_ALPHA,), key=_KEY))
+
+
+@query("pricing_pooled_tiles_global_scale", with_views(f"""with {_POOL},
+  g as (select stddev_pop(x1) as g1, stddev_pop(x3) as g2 from p), {_solve('pool', 'g1', 'g2', ', g')}
+  select -1 as year, fold, round(w0, 9) as intercept, round(w1, 9) as w1, round(w2, 9) as w2, cast(n as bigint) as n_train
+  from pool_m"""))
+def pricing_pooled_tiles_global_scale(spark, d):
+    return _flat(pr.pricing_pooled(_frame(spark, d), "z", "y", alphas=(_ALPHA,), scaling="all", key=_KEY))
+
+
+def _chosen(train, keys):
+    """Ridge with the alpha of the best mean R2 over three inner folds; ``train``: rows of each training set, with ``keys``."""
+    k = ", ".join(keys)
+    same = " and ".join(f"r.{x} = h.{x}" for x in keys)
+    moments = """count(*) * 1e0 as n, avg(x1) as m1, avg(x3) as m2, avg(y) as my, var_pop(x1) as v11, var_pop(x3) as v22,
+    covar_pop(x1, x3) as v12, covar_pop(x1, y) as c1, covar_pop(x3, y) as c2, var_pop(y) as vy"""
+    ridge = """(c1 / d1 * (n * v22 / (d2 * d2) + alpha) - c2 / d2 * n * v12 / (d1 * d2)) * n
+      / ((n * v11 / (d1 * d1) + alpha) * (n * v22 / (d2 * d2) + alpha) - (n * v12 / (d1 * d2)) ** 2) / d1 as w1,
+    (c2 / d2 * (n * v11 / (d1 * d1) + alpha) - c1 / d1 * n * v12 / (d1 * d2)) * n
+      / ((n * v11 / (d1 * d1) + alpha) * (n * v22 / (d2 * d2) + alpha) - (n * v12 / (d1 * d2)) ** 2) / d2 as w2"""
+    return f"""
+  inner_p as (select *, cast(cast('0x' || substr(md5('7|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 8) as bigint) % 3 as int) as i
+              from p),
+  train as ({train}),
+  whole as (select {k}, {moments}, sqrt(var_pop(x1)) as d1, sqrt(var_pop(x3)) as d2 from train group by {k} having count(*) >= 10),
+  held as (select {k}, i, {moments} from train group by {k}, i),
+  rest as (select {", ".join(f"t.{x}" for x in keys)}, j.i, {moments} from train t, (select range as i from range(3)) j
+           where t.i <> j.i group by {", ".join(f"t.{x}" for x in keys)}, j.i),
+  grid as (select 10e0 ** (-3 + 6e0 * range / 49) as alpha from range(50)),
+  fits as (select r.*, alpha, {ridge} from (select * from rest join (select {k}, d1, d2 from whole) using ({k})) r, grid),
+  scores as (select {", ".join(f"r.{x}" for x in keys)}, alpha, avg(1 - ((h.vy - 2 * w1 * h.c1 - 2 * w2 * h.c2 + w1 * w1 * h.v11
+                 + 2 * w1 * w2 * h.v12 + w2 * w2 * h.v22) + (h.my - r.my - w1 * (h.m1 - r.m1) - w2 * (h.m2 - r.m2)) ** 2) / h.vy) as score
+             from fits r join held h on {same} and r.i = h.i group by {", ".join(f"r.{x}" for x in keys)}, alpha),
+  best as (select {k}, arg_max(alpha, score) as alpha from scores group by {k}),
+  final as (select w.*, {ridge}, alpha from whole w join best using ({k}))
+  select {"-1 as year, fold" if "year" not in keys else "year, fold"}, round(my - w1 * m1 - w2 * m2, 9) as intercept, round(w1, 9) as w1,
+         round(w2, 9) as w2, round(alpha, 9) as alpha, cast(n as bigint) as n_train from final"""
+
+
+def _chosen_flat(w):
+    return _round(w.select("year", "fold", "intercept", F.col("weights")[0].alias("w1"), F.col("weights")[1].alias("w2"), "alpha", "n_train"),
+                  "intercept", "w1", "w2", "alpha", digits=9)
+
+
+@query("pricing_pooled_cv", with_views(f"with {_P}, " + _chosen(
+    "select f as fold, i, y, x1, x3 from inner_p, (select cast(range as int) as f from range(5)) where inner_p.fold <> f", ["fold"])))
 def pricing_pooled_cv(spark, d):
-    return pr.pricing_pooled(_frame(spark, d), _XS, "y", key=_KEY)
+    return _chosen_flat(pr.pricing_pooled(_frame(spark, d), _XS, "y", key=_KEY))
 
 
-@query("pricing_forward_cv")
+@query("pricing_forward_cv", with_views(f"with {_P}, " + _chosen(
+    """select t as year, f as fold, i, y, x1, x3 from inner_p, (select distinct year as t, fold as f from p)
+       where inner_p.year < t and inner_p.fold <> f""", ["year", "fold"])))
 def pricing_forward_cv(spark, d):
-    return pr.pricing_forward(_frame(spark, d), _XS, "y", key=_KEY)
+    return _chosen_flat(pr.pricing_forward(_frame(spark, d), _XS, "y", key=_KEY))
 
 
 @query("pricing_weights", with_views(f"""with {_FWD_M}

@@ -115,9 +115,9 @@ def moments(
             w = x if weight is None else x * weight(x)[:, None]
             for rows, group in _groups(batch, keys):
                 sums[group] = sums.get(group, 0.0) + w[rows].T @ x[rows]
-            if len(sums) > flush:
-                yield emit(sums, kinds)
-                sums = {}
+                if len(sums) >= flush:
+                    yield emit(sums, kinds)
+                    sums = {}
         if sums:
             yield emit(sums, kinds)
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as vx
+from ..functions.durable import durable
 from ..functions.order import carried_lag
-from .moments import Moments, fit_moments, total
+from . import tiles
+from .moments import MAX_COLLECT_BYTES, Moments, fit_moments, total
 from .sampling import kfold
 
 ALPHAS = tuple(np.logspace(-3, 3, 50))
+DRIVER_GROUPS = 1000  # matrices that must fit on the driver for a panel to be fitted there
 POOLED = -1  # year of a model that uses all years
 WEIGHTS = "year int, fold int, intercept double, weights array<double>, alpha double, n_train long"
 
@@ -39,26 +42,70 @@ def _score(m: Moments, b: np.ndarray, fit_on: Moments) -> float:
     return float(1 - (v @ m.a @ v) / syy) if syy > 0 else 0.0
 
 
+def _ridge_path(m: Moments, alphas: Sequence[float], scale: np.ndarray) -> list[np.ndarray]:
+    """Slopes for each alpha; many share one decomposition into eigenvectors."""
+    if len(alphas) <= 8:
+        return [_ridge(m, a, scale) for a in alphas]
+    sxx, sxy, _, _, _ = m.centred()
+    values, vectors = np.linalg.eigh(sxx / np.outer(scale, scale))
+    turned = vectors.T @ (sxy / scale)
+    return [vectors @ (turned / (np.maximum(values, 0) + a)) / scale for a in alphas]
+
+
 def _fit(inner: dict[int, Moments], alphas: Sequence[float], scale: np.ndarray | None):
     """Choose alpha on the inner folds, fit on all of them."""
     m = total(inner)
     sc = _scale_of(m) if scale is None else scale
     best = alphas[0]
     if len(alphas) > 1:
-        folds = [f for f in inner.values() if 0 < f.n < m.n]
-        scores = [np.mean([_score(f, _ridge(m - f, a, sc), m - f) for f in folds]) for a in alphas]
-        best = alphas[int(np.argmax(scores))]
+        scores = []
+        for f in inner.values():
+            if 0 < f.n < m.n:
+                rest = m - f
+                scores.append([_score(f, b, rest) for b in _ridge_path(rest, alphas, sc)])
+        best = alphas[int(np.argmax(np.mean(scores, axis=0)))]
     b = _ridge(m, best, sc)
     _, _, _, mx, my = m.centred()
     intercept = my + m.shift[-1] - b @ (mx + m.shift[:-1])
     return float(intercept), [float(v) for v in b], float(best), int(round(m.n))
 
 
-def _prepare(df: DataFrame, xs: Sequence[str], y: str, key: Sequence[str], inner: int) -> DataFrame:
+def _prepare(df: DataFrame, xs: Sequence[str] | str, y: str, key: Sequence[str], inner: int) -> DataFrame:
+    if isinstance(xs, str) and not key:
+        raise ValueError("inner folds of rows with an array need a key")
     return kfold(df.withColumnRenamed("fold", "_outer"), inner, list(key) or [*xs, y], seed=7).withColumnRenamed(
         "fold", "_inner").withColumnRenamed("_outer", "fold")
 
 
+def _is_wide(xs: Sequence[str] | str, wide: bool | None) -> bool:
+    """Named columns of which even many groups of matrices fit on the driver are fitted there."""
+    if wide is not None:
+        return wide or isinstance(xs, str)
+    return isinstance(xs, str) or 8 * (len(xs) + 2) ** 2 * DRIVER_GROUPS > MAX_COLLECT_BYTES
+
+
+def _pricing_tiles(data: DataFrame, xs: Sequence[str] | str, y: str, alphas: Sequence[float], scaling: str,
+                   models: Callable[[list], list[tuple]], pooled: int | None) -> DataFrame:
+    """Weights from tiled moments; the driver sees row counts per (year, fold, inner fold), never a matrix."""
+    rows = durable(tiles.wide_rows(data, xs, y, ["year", "fold", "_inner"]))
+    spark = data.sparkSession
+    chosen = set(models([tuple(r) for r in rows.groupBy("year", "fold", "_inner").count().collect()]))
+    if not chosen:
+        return spark.createDataFrame([], WEIGHTS)
+    width, means = tiles.width_and_means(rows)
+    blocks = tiles.tiled_moments(rows, ["year", "fold", "_inner"], means)
+    scale = np.ones(width - 2) if scaling == "none" else None
+    if scaling == "all":
+        first, diagonal = tiles.total_variances(blocks, width)
+        scale = np.sqrt(np.maximum(diagonal - first ** 2 / first[0], 0) / first[0])[1:-1]
+        scale[scale < 1e-12] = 1.0
+    elif scaling not in ("none", "train"):
+        raise ValueError(f"unknown scaling {scaling}")
+    training = tiles.training_tiles(blocks.withColumnRenamed("_inner", "inner"), chosen, pooled)
+    alphas = list(alphas)
+    return tiles.solved_models(training, width, means, lambda parts: _fit(parts, alphas, scale), WEIGHTS)
+
+
 def _sum_by_inner(parts: list[dict[int, Moments]]) -> dict[int, Moments]:
     out: dict[int, Moments] = {}
     for p in parts:
@@ -78,14 +125,22 @@ def _common_scale(groups: dict, scaling: str, width: int) -> np.ndarray | None:
 
 
 def pricing_pooled(
-    df: DataFrame, xs: Sequence[str], y: str, alphas: Sequence[float] = ALPHAS, inner: int = 3,
-    scaling: str = "train", key: Sequence[str] = (),
+    df: DataFrame, xs: Sequence[str] | str, y: str, alphas: Sequence[float] = ALPHAS, inner: int = 3,
+    scaling: str = "train", key: Sequence[str] = (), wide: bool | None = None,
 ) -> DataFrame:
     """Weights per firm fold (column ``fold``), fitted on the other folds.
 
     One data pass gives the moments of every (fold, inner fold); the training
-    set of a fold is the sum of the others.
+    set of a fold is the sum of the others.  ``xs``: column names, or one array
+    column.  Wide panels (by size, or ``wide``) are fitted in the tasks.
     """
+    if _is_wide(xs, wide):
+        def models(counts: list[tuple]) -> list[tuple]:
+            folds = {f for _, f, _, _ in counts if f is not None}
+            return [(POOLED, f) for f in folds if any(g != f for _, g, _, _ in counts)]
+
+        data = _prepare(df, xs, y, key, inner).withColumn("year", F.lit(POOLED))
+        return _pricing_tiles(data, xs, y, alphas, scaling, models, POOLED)
     groups = fit_moments(_prepare(df, xs, y, key, inner), xs, y, ["fold", "_inner"])
     scale = _common_scale(groups, scaling, len(xs))
     folds = sorted({f for f, _ in groups if f is not None})
@@ -98,15 +153,26 @@ def pricing_pooled(
 
 
 def pricing_forward(
-    df: DataFrame, xs: Sequence[str], y: str, alphas: Sequence[float] = ALPHAS, inner: int = 3,
-    scaling: str = "train", min_prior: int = 0, min_train: int = 10, key: Sequence[str] = (),
+    df: DataFrame, xs: Sequence[str] | str, y: str, alphas: Sequence[float] = ALPHAS, inner: int = 3,
+    scaling: str = "train", min_prior: int = 0, min_train: int = 10, key: Sequence[str] = (), wide: bool | None = None,
 ) -> DataFrame:
     """Weights per (year, fold), fitted on earlier years and other folds.
 
     Moments by (year, fold, inner fold) come from one pass; running sums over the
-    years replace a fit per year over the data.
+    years replace a fit per year over the data.  ``xs`` and ``wide`` as in
+    ``pricing_pooled``.
     """
     data = _prepare(df.where(F.col("year").isNotNull() & F.col("fold").isNotNull()), xs, y, key, inner)
+    if _is_wide(xs, wide):
+        def models(counts: list[tuple]) -> list[tuple]:
+            out = []
+            for t, f in {(t, f) for t, f, _, _ in counts}:
+                prior = [(g, n) for u, g, _, n in counts if u < t]
+                if sum(n for _, n in prior) >= max(min_prior, 1) and sum(n for g, n in prior if g != f) >= max(min_train, 1):
+                    out.append((t, f))
+            return out
+
+        return _pricing_tiles(data, xs, y, alphas, scaling, models, None)
     groups = fit_moments(data, xs, y, ["year", "fold", "_inner"])
     scale = _common_scale(groups, scaling, len(xs))
     years, folds = sorted({g[0] for g in groups}), sorted({g[1] for g in groups})
