@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_text, slices, staged
+from .common import as_bytes, drop_staged, id_text, slices, staged, text_of
 from .components import components
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
@@ -81,8 +81,9 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1, minima:
 
 
 def shingle_sets(docs: DataFrame, width: int, words: int, minima: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, k1, k2, n, fp, minima`` per row, all of the set of shingles, without repeats: its 128-bit hash, its size,
-    its fingerprint, and its smallest shingles under ``minima`` hash functions. Null text has the empty set."""
+    """``doc_id, digest, k1, k2, n, fp, minima`` per row: the MD5 of the text, and of the set of its shingles, without
+    repeats, the 128-bit hash, the size, the fingerprint, and the smallest shingles under ``minima`` hash functions.
+    Null text has the empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             n = np.zeros(batch.num_rows, np.int64)
@@ -95,23 +96,25 @@ def shingle_sets(docs: DataFrame, width: int, words: int, minima: int, id_col: s
                 for j in range(minima if len(hashes) else 0):
                     least[i, j] = _mixed(hashes, words + j).min()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *_longs(key), pa.array(n), _lists(fps), _lists(least)], ["doc_id", "k1", "k2", "n", "fp", "minima"])
+                [batch.column("doc_id"), batch.column("digest"), *_longs(key), pa.array(n), _lists(fps), _lists(least)],
+                ["doc_id", "digest", "k1", "k2", "n", "fp", "minima"])
 
-    df = id_text(docs, id_col, text_col)
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, fp array<long>, minima array<long>")
+    df = id_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5("text")))
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest binary, k1 long, k2 long, n long, fp array<long>, minima array<long>")
 
 
-def _members_of_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``k1, k2, shingles`` per row: the sorted hashes of its set of shingles."""
+def _members_of_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``id, k1, k2, shingles`` per row of ``id, text``: the sorted hashes of its set of shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             sets = [np.unique(shingle_hashes(t, width)) for t in as_bytes(batch.column("text"))]
             key = np.array([_set_key(s) for s in sets], np.uint64).reshape(-1, 2)
             offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
             flat = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*_longs(key), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["k1", "k2", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), *_longs(key), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "k1", "k2", "shingles"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "k1 long, k2 long, shingles array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, shingles array<long>")
 
 
 def _set_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -331,31 +334,33 @@ class SetTree:
 
 
 class ProbeTree:
-    """A shard tree that only tells which classes have a candidate: as links to -1. Sets come without their shingles."""
+    """A shard tree that only tells which classes have a candidate in it. Sets come as sizes and minima, without shingles.
 
-    def __init__(self, sets: list[np.ndarray], similarity: float, radius: int):
-        fp, self.names, self.sizes, _ = sets
-        self.similarity, self.radius = similarity, radius
+    A pair counts in the first shard that the two share: what agrees in the minimum of an earlier band has met there.
+    """
+
+    def __init__(self, sets: list[np.ndarray], similarity: float, radius: int, band: int):
+        fp, self.names, self.sizes, self.minima = sets
+        self.similarity, self.radius, self.band = similarity, radius, band
         self.tree, self.met = BKTree(fp), np.zeros(len(fp), bool)
 
-    def visit(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        fp, names, sizes, _ = sets
+    def visit(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Names of the queries with a candidate among the members."""
+        fp, names, sizes, minima = sets
         met = np.zeros(len(fp), bool)
         for node, hit in self.tree.within(fp, np.where(sizes < SHORT, BITS * fp.shape[1], self.radius)):
             size = self.sizes[node]
             fits = np.minimum(sizes[hit], size) >= self.similarity * np.maximum(sizes[hit], size) - 1e-9
             hit = hit[fits & (names[hit] != self.names[node])]
+            if hit.size and self.band:
+                hit = hit[(minima[hit, :self.band] != self.minima[node, :self.band]).all(axis=1)]
             if hit.size:
                 met[hit] = self.met[node] = True
-        return names[met], np.full(int(met.sum()), -1)
+        return names[met]
 
-    def closing(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.names[self.met], np.full(int(self.met.sum()), -1)
 
-
-def _pieces(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Cut so that a piece has at most ``QUERY_ROWS`` sets and about ``QUERY_SHINGLES`` shingles."""
-    fp, names, sizes, flat = sets
+def _cuts(fp: np.ndarray, names: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Pieces of at most ``QUERY_ROWS`` sets and about ``QUERY_SHINGLES`` shingles; ``flat`` holds the shingles of all."""
     ends, a = np.cumsum(sizes), 0
     while a < len(fp):
         done = int(ends[a - 1]) if a else 0
@@ -364,68 +369,129 @@ def _pieces(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
         a = b
 
 
-def set_links(sets: DataFrame, met: DataFrame, similarity: float, radius: int, kind: type = SetTree) -> DataFrame:
-    """Edges ``a, b`` whose components are those of all pairs of classes that share a shard, lie within ``radius`` (short
-    ones at any distance), and have a Jaccard similarity of at least ``similarity``.
+TREE = ["band", "value", "tree"]  # a shard of a minimum, and the number of its tree
+
+
+def _trees(batches: Iterator[pa.RecordBatch], content: str) -> Iterator[tuple[tuple, bool, list[np.ndarray]]]:
+    """(tree, if guests, sets) of each run of rows; ``content``: the column of shingles or of other numbers per set."""
+    for batch in batches:
+        keys = [np.asarray(batch.column(c)) for c in TREE]
+        guest, node = np.asarray(batch.column("guest")), np.asarray(batch.column("node"))
+        fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        column = batch.column(content)
+        flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in (*keys, guest)], axis=0)) + 1
+        for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+            if a < b:
+                yield tuple(int(k[a]) for k in keys), bool(guest[a]), [fp[a:b], node[a:b], np.diff(ends[a:b + 1]), flat[ends[a]:ends[b]]]
+
 
-    ``met``: node, band, value and the number of trees of each shard; ``sets``: node, fp, and shingles or, for ``ProbeTree``,
-    their number n. Members come first;
-    the other fingerprints of a split shard go through the tree piece by piece and are not held.
+def candidates(classes: DataFrame, shards: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``band, value, tree, guest, node``: the trees in which a class has a candidate, as a member or as a guest.
+
+    ``classes``: node, fp, n, minima. A shard of several trees has its classes in them by a hash, and each also visits the trees of
+    smaller number, piece by piece, so a tree is held but its guests are not.
     """
-    own, content = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"), sets.columns[2]
+    own = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int")
+    keyed = classes.where("n > 0").select("node", "fp", F.concat(F.array("n"), "minima").alias("known"), F.posexplode("minima").alias("band", "value"))
     dealt = (
-        met.join(sets, "node").withColumn("own", own)
-        .select("node", "fp", content, "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-        .select("band", "value", "tree", (F.col("own") != F.col("tree")).alias("guest"), "node", "fp", content)
-        .repartition("band", "value", "tree").sortWithinPartitions("band", "value", "tree", "guest", "node")
+        keyed.join(shards, ["band", "value"]).withColumn("own", own)
+        .select("node", "fp", "known", "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("tree"))
+        .select(*TREE, (F.col("own") != F.col("tree")).alias("guest"), "node", "fp", "known")
+        .repartition(*TREE).sortWithinPartitions(*TREE, "guest", "node")
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, members, tree, rows = None, [], None, []
+
+        def out() -> pa.RecordBatch:
+            keys = [np.concatenate([np.full(len(names), k[i]) for k, _, names in rows]) for i in range(3)]
+            guest = np.concatenate([np.full(len(names), g) for _, g, names in rows])
+            names = np.concatenate([names for *_, names in rows])
+            rows.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys[0].astype(np.int32)), pa.array(keys[1]), pa.array(keys[2].astype(np.int32)), pa.array(guest), pa.array(names)],
+                [*TREE, "guest", "node"])
+
+        def grown() -> ProbeTree:
+            whole = [np.concatenate(p) for p in zip(*members)]
+            members.clear()
+            new = ProbeTree(whole, similarity, radius, place[0])
+            for a in range(0, len(whole[0]) if len(whole[0]) > 1 else 0, QUERY_ROWS):
+                new.visit([x[a:a + QUERY_ROWS] for x in whole])
+            return new
+
+        def leave() -> None:
+            done = grown() if members else tree
+            if done is not None and done.met.any():
+                rows.append((place, False, done.names[done.met]))
+
+        for key, guest, (fp, names, width, flat) in _trees(batches, "known"):
+            if key != place:
+                leave()
+                place, tree = key, None
+                if len(rows) >= LINK_PARTS:
+                    yield out()
+            known = flat.reshape(len(names), -1)
+            sets = [fp, names, known[:, 0], known[:, 1:]]
+            if not guest:
+                members.append(sets)
+                continue
+            tree = grown() if members else tree
+            for a in range(0, len(names) if tree is not None else 0, QUERY_ROWS):
+                met = tree.visit([x[a:a + QUERY_ROWS] for x in sets])
+                if met.size:
+                    rows.append((key, True, met))
+        leave()
+        if rows:
+            yield out()
+
+    return dealt.mapInArrow(run, "band int, value long, tree int, guest boolean, node long")
+
+
+def set_links(sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all pairs of classes in a tree that lie within ``radius`` (short ones at
+    any distance) and have a Jaccard similarity of at least ``similarity``.
+
+    ``sets``: band, value, tree, guest, node, fp, shingles. Members come first; guests go through the tree piece by piece and
+    are not held.
+    """
+    columns = [*TREE, "guest", "node"]
+    dealt = sets.select(*columns, "fp", "shingles").repartition(*TREE).sortWithinPartitions(*columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[np.ndarray, np.ndarray]] = []
-        shard, members, tree = None, [], None
+        place, members, tree = None, [], None
 
-        def grown() -> SetTree | ProbeTree | None:
+        def grown() -> SetTree:
             """The tree of the members, which have walked it."""
             whole = [np.concatenate(p) for p in zip(*members)]
             members.clear()
-            new = kind(whole, similarity, radius) if whole else None
-            if new and len(whole[0]) > 1:
-                links.extend(map(new.visit, _pieces(whole)))
+            new = SetTree(whole, similarity, radius)
+            if len(whole[0]) > 1:
+                links.extend(map(new.visit, _cuts(*whole)))
             return new
 
         def leave() -> None:
             done = grown() if members else tree
-            if done:
+            if done is not None:
                 links.append(done.closing())
 
-        for batch in batches:
-            keys = [np.asarray(batch.column(c)) for c in ("band", "value", "tree")]
-            guest, node = np.asarray(batch.column("guest")), np.asarray(batch.column("node"))
-            fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            column = batch.column(content)
-            if content == "shingles":
-                flat, ends = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy().astype(np.int64)
-                ends = ends - ends[0]
-                sizes = np.diff(ends)
+        for key, guest, (fp, names, sizes, flat) in _trees(batches, "shingles"):
+            if key != place:
+                leave()
+                place, tree = key, None
+                if len(links) > LINK_PARTS:
+                    yield _edges(links)
+                    links.clear()
+            part = [fp, names, sizes, flat.view(np.uint64)]
+            if not guest:
+                members.append(part)
             else:
-                flat, ends, sizes = np.empty(0, np.uint64), np.zeros(batch.num_rows + 1, np.int64), np.asarray(column)
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in (*keys, guest)], axis=0)) + 1
-            for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
-                now = tuple(int(k[a]) for k in keys)
-                if now != shard:
-                    leave()
-                    shard, tree = now, None
-                    members.clear()
-                part = [fp[a:b], node[a:b], sizes[a:b], flat[ends[a]:ends[b]]]
-                if not guest[a]:
-                    members.append(part)
-                else:
-                    tree = grown() if members else tree
-                    if tree:
-                        links.extend(map(tree.visit, _pieces(part)))
-            if len(links) > LINK_PARTS:
-                yield _edges(links)
-                links.clear()
+                tree = grown() if members else tree
+                if tree is not None:
+                    links.extend(map(tree.visit, _cuts(*part)))
         leave()
         if links:
             yield _edges(links)
@@ -447,6 +513,7 @@ def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, key: list[str]
         classes.select(*key, "node", "first_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     smallest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     named = staged(rooted.join(smallest, "root").select(*key, "component_id"), "named")
+    drop_staged(labels, rooted, smallest)
     return rows.join(named, key)
 
 
@@ -467,33 +534,37 @@ def near_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 
 def similar_components(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY, words: int = WIDE_WORDS,
                        minima: int = MINIMA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id``: components of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+    """``doc_id, digest, component_id``: components of documents whose shingle sets have a Jaccard similarity of ``similarity`` or
+    more; ``digest``: MD5 of the text, which tells rows of one id apart.
 
     Every link is confirmed by comparing the sets. Candidates share the smallest shingle under one of ``minima`` hash
     functions (two texts with a similarity of s share one with probability 1 - (1 - s)^minima, over 0.9999 at 0.8) and
     lie within ``search_radius`` of their fingerprints of 64 * ``words`` bits, short texts at any distance. Sets are made
-    only for texts that have a candidate. Texts of one set are one class; those without words are one too.
-    Edge cases as in ``near_components``.
+    only for texts that have a candidate, and go only to the trees in which they have one; a pair is a candidate in one
+    tree. Texts of one set are one class; those without words are one too. Edge cases as in ``near_components``.
     """
     rows = staged(shingle_sets(docs, width, words, minima, id_col, text_col), "shingle-sets")
     same = [F.first(c).alias(c) for c in ("n", "fp", "minima")]  # equal in all rows of a class
     classes = staged(
         rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *same).withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = classes.where("n > 0").select("node", "n", F.posexplode("minima").alias("band", "value"))
     shards = staged(
-        keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1")
+        classes.where("n > 0").select("n", F.posexplode("minima").alias("band", "value"))
+        .groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1")
         .select("band", "value", F.greatest(F.ceil(F.col("c") / TREE_SIZE), F.ceil(F.col("n") / TREE_SHINGLES)).cast("int").alias("trees")), "shards")
-    met = staged(keyed.join(shards, ["band", "value"]).select("node", "band", "value", "trees"), "met")
     radius = search_radius(similarity, 64 * words)
-    probed = staged(set_links(classes.select("node", "fp", "n"), met, similarity, radius, ProbeTree).select(F.col("a").alias("node")).distinct(), "probed")
-    met = staged(met.join(probed, "node", "left_semi"), "met-again")
-    needed = staged(classes.join(probed, "node").select("node", "first_id", "k1", "k2", "fp"), "needed")
-    wanted = needed.select(F.col("first_id").alias("_wanted")).distinct()
-    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    made = _members_of_sets(some, width, "_id", "_text").dropDuplicates(["k1", "k2"])
-    sets = staged(needed.join(made, ["k1", "k2"]).select("node", "fp", "shingles"), "sets")
-    found = set_links(sets, met, similarity, radius)
-    return _named(rows, classes, found, ["k1", "k2"]).select("doc_id", "component_id")
+    hits = staged(candidates(classes, shards, similarity, radius), "candidates")
+    drop_staged(shards)
+    wanted = staged(hits.join(classes.select("node", F.col("first_id").alias("id"), "k1", "k2", "fp"), "node"), "wanted")
+    drop_staged(hits)
+    some = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    ids = wanted.select(F.col("id").alias("_wanted")).distinct()
+    made = _members_of_sets(some.join(ids, F.col("id").eqNullSafe(F.col("_wanted")), "left_semi"), width)
+    # the row of the class's first id, or several equal ones, which do no harm
+    at = wanted.select("*", *[F.col(c).alias(f"_{c}") for c in ("id", "k1", "k2")]).drop("id", "k1", "k2")
+    match = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+    found = staged(set_links(made.join(at, match), similarity, radius), "links")
+    drop_staged(wanted)
+    return _named(rows, classes, found, ["k1", "k2"]).select("doc_id", "digest", "component_id")
 
 
 def search_radius(similarity: float, bits: int) -> int:
@@ -505,11 +576,13 @@ def search_radius(similarity: float, bits: int) -> int:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without those that have a component with a smaller id; rows without id stay.
 
+    Rows are told apart by id and text: of two texts under one id, each goes or stays by its own component.
     ``options`` are those of ``similar_components``.
     """
     found = similar_components(docs, id_col=id_col, text_col=text_col, **options)
-    leave = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
-    return docs.join(leave, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    leave = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest")).distinct(), "near-copies")
+    same = (F.col(f"`{id_col}`") == F.col("_near_id")) & (F.unhex(F.md5(text_of(text_col))) == F.col("_near_digest"))
+    return docs.join(leave, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex16(fp: Column) -> Column:

@@ -8,10 +8,10 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from filingpanel.llm import pii, simhash
+from filingpanel.llm import pii
 from test_packing import check_sequences
 from test_quality import brute as counts
-from test_simhash import brute_components
+from test_simhash import jaccard_components, shared_passages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -30,6 +30,7 @@ def documents():
             texts.append(" ".join(words))
         if rng.random() < 0.3:
             texts.append(" ".join(words) + " write to me@example.org or +49 30 1234567")
+    texts += shared_passages(rng, [2 * j / (1 + j) for j in (0.6, 0.7, 0.75, 0.79, 0.81, 0.85) for _ in range(3)], 120)
     texts += ["", None, "a b c " * 100, " ".join(word() for _ in range(6000))]
     rng.shuffle(texts)
     return [(i, t, rng.choice(["en", "fr", None]), "s", len(t) if t else 0) for i, t in enumerate(texts)]
@@ -41,16 +42,8 @@ def expected(rows):
     for r in good:
         first.setdefault(r[1], r)
     exact = list(first.values())
-    fps = []
-    for r in exact:
-        hashes = simhash.shingle_hashes(r[1].encode(), 5)
-        fp = 0
-        for j in range(4):
-            hs = [int(h) for h in (simhash._mixed(hashes, j) if j else hashes)]
-            fp |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) << 64 * j
-        fps.append(fp)
     ids = [r[0] for r in exact]
-    near = [r for r, c in zip(exact, brute_components(ids, fps, 51)) if r[0] == c]
+    near = [r for r, c in zip(exact, jaccard_components(ids, [r[1] for r in exact])) if r[0] == c]
     clean = []
     for i, t, lang, source, _ in near:
         t = pii.redact(t, pii.find(t))

@@ -131,6 +131,13 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert simhash.near_dedup(df.limit(0)).count() == 0
 
 
+def test_two_texts_under_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text), (2, text + " end"), (2, "something else that nobody wrote before"), (2, text + " end"), (3, None), (3, "")]
+    out = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, text), (2, rows[2][1]), (3, ""), (3, "")]
+
+
 def shingle_set(text, width=5):
     words = (text or "").lower().split()
     return {" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
