@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import moments as mo, regression as rg, results as rs
-from . import views as v
+from ..operators import homotopy as hy, moments as mo, regression as rg, results as rs
+from . import lasso_sql, views as v
 from .registry import query
 from .views import with_views
 
@@ -134,32 +134,57 @@ def _lasso_frame(spark, d):
 
 _LX = ["x1", "x3", "x4", "x5"]
 _LKEY = ["l_orderkey", "l_linenumber", "l_partkey"]
+_LSQL = {"x1": "x1", "x3": "x3", "x4": "y * 10", "x5": "cast(l_partkey % 100 as double)"}
 
 
-@query("lasso_cv")
+def _lasso_rows(names, split="0", where="true", source="panel"):
+    """Rows of the SQL: variant, fold, outcome, columns."""
+    cols = ", ".join(f"{_LSQL[x]} as z{j}" for j, x in enumerate(names))
+    return f"select {split} as v, {lasso_sql.fold_of(_LKEY)} as f, x2 as y, {cols} from {source} where {where}"
+
+
+@query("lasso_cv", lasso_sql.lasso_sql(_lasso_rows(_LX), _LX))
 def lasso_cv(spark, d):
     return _round(rg.lasso_cv(_lasso_frame(spark, d), _LX, "y", key=_LKEY).table(spark), "coefficient")
 
 
-@query("lasso_cv_forced_controls")
+@query("lasso_cv_forced_controls", lasso_sql.lasso_sql(_lasso_rows(_LX), _LX, [1]))
 def lasso_cv_forced_controls(spark, d):
     m = rg.lasso_cv(_lasso_frame(spark, d), _LX, "y", key=_LKEY, unpenalized=["x3"])
     return _round(m.table(spark), "coefficient")
 
 
-@query("lasso_path_counts")
+@query("lasso_path_counts", lasso_sql.path_counts_sql(_lasso_rows(_LX), _LX, [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], ["x3"]))
 def lasso_path_counts(spark, d):
     return rg.lasso_path_counts(_lasso_frame(spark, d), _LX, "y", [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], ["x3"])
 
 
-@query("feature_selection")
+@query("lasso_knots", lasso_sql.knots_sql(_lasso_rows(["x1", "x5"]), ["x1", "x5"]))
+def lasso_knots(spark, d):
+    """Where the columns enter, and the coefficients there."""
+    out = hy.lasso_knots(_lasso_frame(spark, d), ["x1", "x5"], "y")
+    b = [F.coalesce(F.col("coefficients")[x], F.lit(0.0)).alias(f"b_{x}") for x in ("x1", "x5")]
+    return _round(out.select("step", "alpha", "feature", "change", *b), "alpha", "b_x1", "b_x5", digits=7)
+
+
+_SEL = ["x3", "x1", "x4", "x5"]
+
+
+def _selection_sql(years):
+    split = f"panel, (select unnest([{', '.join(map(str, years))}]) as s)"
+    return lasso_sql.selection_sql(_lasso_rows(_SEL, "s", "year < s", split), _lasso_rows(_SEL, "s", "year >= s", split), 4, [1, 2, 3], "y")
+
+
+@query("feature_selection", _selection_sql([1999]))
 def feature_selection(spark, d):
-    return rg.feature_selection(_lasso_frame(spark, d), ["y"], ["x1", "x4", "x5"], ["x3"], split_year=1999, key=_LKEY)
+    out = rg.feature_selection(_lasso_frame(spark, d), ["y"], ["x1", "x4", "x5"], ["x3"], split_year=1999, key=_LKEY)
+    return _round(out, "r2_train", "r2_test", "alpha", digits=7)
 
 
-@query("split_sensitivity")
+@query("split_sensitivity", _selection_sql([1998, 1999, 2000]))
 def split_sensitivity(spark, d):
-    return rg.split_sensitivity(_lasso_frame(spark, d), "y", ["x1", "x4", "x5"], [1998, 1999, 2000], ["x3"], _LKEY)
+    out = rg.split_sensitivity(_lasso_frame(spark, d), "y", ["x1", "x4", "x5"], [1998, 1999, 2000], ["x3"], _LKEY)
+    return _round(out, "r2_train", "r2_test", "alpha", digits=7)
 
 
 @query("selected_features", with_views("""
