@@ -24,11 +24,15 @@ def _elements(df, key, vector="embedding"):
     return _round(df.select(key, F.posexplode(vector).alias("dim", "value")), "value")
 
 
-@query("hashed_embedding")
+@query("hashed_embedding", f"""
+  with w as (select doc_id, {v.tok("lower(coalesce(text, ''))")} as w from documents),
+  g as (select doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as gram from w),
+  c as (select doc_id, cast('0x' || substr(md5(gram), 1, 8) as bigint) % 64 as dim,
+               sum(case when cast('0x' || substr(md5(gram), 9, 1) as bigint) % 2 = 1 then -1 else 1 end) as n from g group by 1, 2)
+  select doc_id, cast(dim as int) as dim, round(cast(cast(n / sqrt(sum(n * n) over (partition by doc_id)) as float) as double), 5) as value from c where n <> 0""")
 def hashed_embedding(spark, d):
     out = cp.embed(v.table(spark, d, "documents").select("doc_id", "text"), dim=64)
-    return out.select("doc_id", F.size("embedding").alias("dim"),
-                      F.round(vx.norm(vx.as_double(F.col("embedding"))), 4).alias("length"))
+    return _round(out.select("doc_id", F.posexplode(vx.as_double(F.col("embedding"))).alias("dim", "value")).where("value <> 0"), "value", digits=5)
 
 
 @query("l2_normalize", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, functions as F
@@ -40,3 +42,8 @@ def l2_normalised(v: Column) -> Column:
 def mean_vector(v: Column) -> Column:
     """Aggregate: element-wise mean of a vector column, with map-side combine."""
     return vector_to_array(Summarizer.mean(array_to_vector(v)))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once per row, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import vectors as vx
 from ..functions.order import global_index
+from ..functions.text import lower_tokens
 
 MAX_MODEL_BYTES = 512 << 20  # broadcast bound for one set of encoder weights
 _ROWS = 512  # rows per matrix product, so a batch needs rows x M doubles at most
@@ -195,29 +196,59 @@ def stable_activations(
     return out
 
 
+def hashed_counts(text: Column, dim: int) -> Column:
+    """Signed counts of the lower-case tokens and token pairs of a text, in ``dim`` places: an array of longs.
+
+    The MD5 of a token says where it counts (first eight hex digits modulo ``dim``) and with which sign (minus for an odd
+    ninth digit). Places are found by one sort of all codes together with each possible code once, so the work
+    grows with the text and ``dim``, not with their product.
+    """
+    def code(gram: Column) -> Column:
+        h = F.md5(gram)
+        place = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim
+        return 2 * place + F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % 2
+
+    def grams(words: Column) -> Column:
+        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)),
+                           lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(words, pairs)
+
+    def ends(codes: Column) -> Column:
+        """Where each code has its last place in the sorted array."""
+        last = F.transform(codes, lambda x, i: F.when((i == F.size(codes) - 1) | (x != F.get(codes, i + 1)), i))
+        return F.filter(last, lambda i: i.isNotNull())
+
+    def counts(last: Column) -> Column:
+        def minus(i: Column) -> Column:  # codes 2 i (plus) and 2 i + 1 (minus)
+            before = F.coalesce(F.get(last, 2 * i - 1), F.lit(-1))
+            return (F.get(last, 2 * i) - before) - (F.get(last, 2 * i + 1) - F.get(last, 2 * i))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), minus)
+
+    words = vx.let(lower_tokens(F.coalesce(text, F.lit(""))), grams)
+    every = F.sequence(F.lit(0).cast("long"), F.lit(2 * dim - 1).cast("long"))
+    codes = F.array_sort(F.concat(F.transform(words, code), every))
+    return vx.let(vx.let(codes, ends), counts)
+
+
 def embed(df: DataFrame, encoder=None, dim: int = 384, text: str = "text", out: str = "embedding") -> DataFrame:
-    """Unit-length embedding per text.
+    """Unit-length embedding per text; null and empty texts have the zero vector.
 
     ``encoder`` is a plug point: a function returning a function from a list of
-    texts to a matrix, called once per task.  The default needs no model: hashed
-    token and token-pair counts under a fixed sign projection.
+    texts to a matrix, called once per task.  The default needs no model and no
+    Python: ``hashed_counts``, scaled to length one.
     """
-    def default():
-        def run(texts: list[str]) -> np.ndarray:
-            x = np.zeros((len(texts), dim), np.float32)
-            for r, t in enumerate(texts):
-                words = t.lower().split()
-                for g in words + [a + " " + b for a, b in zip(words, words[1:])]:
-                    h = _stable_hash(g)
-                    x[r, h % dim] += 1.0 if (h >> 40) & 1 else -1.0
-            return x
-        return run
-
-    make = encoder or default
+    if encoder is None:
+        def unit(counts: Column) -> Column:
+            length = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x * x))
+            return vx.let(F.greatest(length, F.lit(1e-12)), lambda n: F.transform(counts, lambda x: (x / n).cast("float")))
+
+        return df.withColumn(out, vx.let(hashed_counts(F.col(text), dim), unit))
+
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make()
+        model = encoder()
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             x = np.asarray(model(texts), np.float32).reshape(len(texts), -1)
@@ -229,13 +260,6 @@ def embed(df: DataFrame, encoder=None, dim: int = 384, text: str = "text", out:
     return df.mapInArrow(run, schema)
 
 
-def _stable_hash(s: str) -> int:
-    import zlib
-
-    b = s.encode()
-    return zlib.crc32(b) | (zlib.adler32(b) << 32)
-
-
 def loss_plateau(log: DataFrame, run: list[str], step: list[str], window: int = 10, tol: float = 0.001) -> DataFrame:
     """Per run: relative improvement of the last window over the one before, trend of the last points.
 

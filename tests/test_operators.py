@@ -185,6 +185,12 @@ def test_embedding_is_unit_length_and_pluggable(spark):
     e = {r["id"]: np.array(r["embedding"]) for r in cp.embed(df, dim=32).collect()}
     assert np.allclose(np.linalg.norm(list(e.values()), axis=1), 1, atol=1e-6)
     assert np.array_equal(e[1], e[2]) and not np.array_equal(e[1], e[3])
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "word"), (5, "x " * 20000)], "id int, text string")
+    e = {r["id"]: np.array(r["embedding"]) for r in cp.embed(odd, dim=16).collect()}
+    assert all(len(x) == 16 for x in e.values()) and not any(e[i].any() for i in (1, 2, 3))
+    assert sorted(np.abs(e[4])) == [0] * 15 + [1] and np.linalg.norm(e[5]) == pytest.approx(1)
+    plan = cp.embed(spark.range(3).select(F.col("id").cast("string").alias("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
     fixed = cp.embed(df, lambda: lambda texts: np.array([[3.0, 4.0]] * len(texts))).first()["embedding"]
     assert fixed == pytest.approx([0.6, 0.8])
 
