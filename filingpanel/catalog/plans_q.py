@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.durable import shared_folder
@@ -93,6 +94,49 @@ def encoder_training(spark, d):
     return model.loss_log
 
 
+_STEP_M, _STEP_K, _STEP_LR, _STEP_SHARDS = 6, 2, 0.01, 2
+
+
+def _loss_sql(n, weights):
+    """Tables of one pass over all rows: codes z, gaps, and the loss per shard; ``weights``: table of j, we, b, wd, and of i, c."""
+    return f"""
+  z{n} as (select key, shard, x, j, wd, greatest(list_inner_product(x, we) + b, 0) as z0 from s, {weights}),
+  t{n} as (select *, case when row_number() over (partition by key order by z0 desc, j) <= {_STEP_K} then z0 else 0e0 end as z from z{n}),
+  g{n} as (select key, shard, i, sum(z * wd[i]) + any_value(c) - any_value(x[i]) as gap, any_value(x[i]) as xi
+           from t{n}, c_{weights} group by key, shard, i),
+  l{n} as (select shard, avg(gap * gap) as loss, count(distinct key) as n from g{n} group by shard)"""
+
+
+@query("encoder_first_steps", with_views(f"""
+  with s as (select *, cast('0x' || substr(md5('0|' || key), 1, 8) as bigint) % {_STEP_SHARDS} as shard from (
+               select concat_ws('|', accession_number, sentence_id, item_type) as key,
+                      list_transform(embedding, lambda e: cast(e as double)) as x from sentence_embedding)),
+  w0 as (select range as j, list_transform(range(1, {v.ENCODER_DIM} + 1), lambda i: sin((range + 1) * i)) as we, 0e0 as b,
+                list_transform(range(1, {v.ENCODER_DIM} + 1), lambda i: cos((range + 1) * i) / 10) as wd from range({_STEP_M})),
+  c_w0 as (select range as i, 0e0 as c from range(1, {v.ENCODER_DIM} + 1)), {_loss_sql(0, "w0")},
+  q as (select key, shard, i, 2 * gap / (n * {v.ENCODER_DIM}) as g, xi from g0 join l0 using (shard)),
+  dz as (select key, shard, j, z, case when z > 0 then sum(g * wd[i]) else 0 end as d from t0 join q using (key, shard) group by key, shard, j, z),
+  grads as (select shard, j, i, sum(d * xi) as ge, sum(z * g) as gd from dz join q using (key, shard) group by shard, j, i),
+  gb as (select shard, j, sum(d) as g from dz group by shard, j),
+  gc as (select shard, i, sum(g) as g from q group by shard, i),
+  total as (select sum(n) as n_all from l0),
+  w1 as (select j, list(e order by i) as we, any_value(b) as b, list(d order by i) as wd from (
+           select j, i, sum(n * (we[i] - {_STEP_LR} * ge / (abs(ge) + 1e-8))) / any_value(n_all) as e,
+                  sum(n * (wd[i] - {_STEP_LR} * gd / (abs(gd) + 1e-8))) / any_value(n_all) as d
+           from grads join l0 using (shard) join w0 using (j), total group by j, i)
+         join (select j, sum(n * (0 - {_STEP_LR} * g / (abs(g) + 1e-8))) / any_value(n_all) as b from gb join l0 using (shard), total group by j) using (j)
+         group by j),
+  c_w1 as (select i, sum(n * (0 - {_STEP_LR} * g / (abs(g) + 1e-8))) / any_value(n_all) as c from gc join l0 using (shard), total group by i),
+  {_loss_sql(1, "w1")}
+  select 1 as epoch, round(sum(n * loss) / sum(n), 8) as loss from l0 union all select 2, round(sum(n * loss) / sum(n), 8) from l1"""))
+def encoder_first_steps(spark, d):
+    """Loss before and after one step of two shards, from weights in closed form."""
+    j, i = np.arange(1, _STEP_M + 1)[:, None], np.arange(1, v.ENCODER_DIM + 1)[None, :]
+    start = cp.EncoderWeights(np.sin(j * i), np.zeros(_STEP_M), np.cos(j * i) / 10, np.zeros(v.ENCODER_DIM))
+    fit = tr.KSparseEncoder(_STEP_M, _STEP_K, _STEP_LR, 2, 1 << 30, shards=_STEP_SHARDS, start=start)
+    return _round(fit.fit(v.sentence_embedding(spark, d), _KEY).loss_log.select("epoch", "loss"), "loss", digits=8)
+
+
 @query("encoder_ensemble")
 def encoder_ensemble(spark, d):
     """Stability of the features of a small ensemble trained on filing bootstraps."""

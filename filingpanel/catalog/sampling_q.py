@@ -76,6 +76,16 @@ def firm_folds(spark, d):
     return sp.firm_folds(v.document(spark, d).select("accession_number", "item_type", "cik"))
 
 
+@query("panel_folds", with_views("""
+  select accession_number, item_type, cik,
+         coalesce(fold, cast(cast('0x' || substr(md5('42|' || accession_number || '|' || item_type), 1, 8) as bigint) % 5 as int)) as fold
+  from document left join (
+    select cik, cast((row_number() over (order by md5('42|' || cik)) - 1) % 5 as int) as fold
+    from (select distinct cik from document where cik is not null)) using (cik)"""))
+def panel_folds(spark, d):
+    return sp.panel_folds(v.document(spark, d).select("accession_number", "item_type", "cik"), 5, ["accession_number", "item_type"])
+
+
 @query("row_folds", """
   select l_orderkey, l_linenumber,
          cast(cast('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 8) as bigint) % 5 as int) as fold

@@ -76,6 +76,15 @@ def kfold(df: DataFrame, k: int, key: list[str], seed: int = 42) -> DataFrame:
     return df.withColumn("fold", (h % k).cast("int"))
 
 
+def panel_folds(df: DataFrame, k: int, key: list[str], seed: int = 42, firm: str = "cik") -> DataFrame:
+    """Firm folds where the firm is known; rows without firm id, or all rows of a panel without that column, by their key."""
+    rows = kfold(df, k, key, seed)
+    if firm not in df.columns:
+        return rows
+    return firm_folds(rows.withColumnRenamed("fold", "_row_fold"), k, seed, firm).withColumn(
+        "fold", F.coalesce("fold", "_row_fold")).select(*[c for c in df.columns if c != "fold"], "fold")
+
+
 def temporal_split(df: DataFrame, year: int, min_rows: int = 100) -> DataFrame:
     """Column ``split``: train before ``year``, test from it on; all rows train if a side is too small."""
     early, late = F.col("year") < year, F.col("year") >= year

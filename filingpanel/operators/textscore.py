@@ -149,23 +149,42 @@ def relevance_proxy(df: DataFrame) -> DataFrame:
     return token_counts(df).withColumn("relevance_kmnz", relevance_score()).select(*df.columns, "relevance_kmnz")
 
 
+HOT_SHARE = 4096  # a (firm, token, year) with more than one in so many rows is dealt to several tasks
+
+
+def word_counts(words: Column) -> Column:
+    """Array of (token, n) of the distinct tokens of an array, from one sort."""
+    def counted(w: Column) -> Column:
+        last = F.filter(F.transform(w, lambda x, i: F.when((i == F.size(w) - 1) | (x != F.get(w, i + 1)), i)), lambda i: i.isNotNull())
+        return vx.let(last, lambda ends: F.transform(ends, lambda end, j: F.struct(
+            F.get(w, end).alias("token"), (end - F.coalesce(F.get(ends, j - 1), F.lit(-1))).alias("n"))))
+
+    return vx.let(F.array_sort(words), counted)
+
+
+def hot_keys(per_key: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
+    """``keys..., salts`` of the keys with more than one in ``share`` of all rows (column ``n_rows``): fewer than ``share`` keys,
+    with the number of parts that makes each part at most that large."""
+    whole = per_key.agg(F.sum("n_rows")).scalar()
+    return per_key.where(F.col("n_rows") * share > whole).select(*keys, F.ceil(F.col("n_rows") * share / whole).cast("int").alias("salts"))
+
+
 def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> DataFrame:
     """Mean, sum or maximum of -log P(token | earlier years of the same firm), smoothed unigrams.
 
     P = (count before + alpha) / (tokens before + alpha * V), V = distinct tokens
-    of the whole table.  Counts per (firm, token, year) are aggregated before any
-    window; the windows run over years of one (firm, token) or of one firm.
+    of the whole table.  The text is counted once, into a stored table of words per
+    sentence.  Counts per (firm, token, year) are aggregated before any window; the
+    windows run over years of one (firm, token) or of one firm.  Their exact counts
+    name the heavy hitters, such as a common word of a firm with a third of all
+    rows; these meet their probability in several parts.
     """
     if agg not in ("mean", "sum", "max"):
         raise ValueError(f"unknown aggregation {agg}")
+    key = ["cik", "token", "year"]
     known = df.where(F.col("cik").isNotNull() & F.col("year").isNotNull())
-    words = tx.lower_tokens(F.col("text"))
-    tok = known.select(*SENTENCE_KEY, "cik", "year", words.alias("_w")).select(
-        *SENTENCE_KEY, "cik", "year", "_w", F.explode(F.array_distinct("_w")).alias("token"))
-    # a word of a sentence is one row with its number, whatever follows
-    tok = tok.withColumn("n", F.size("_w") - F.size(F.array_remove("_w", F.col("token")))).drop("_w")
-    # Written out: three parts below read it, and it is far smaller than the text.
-    per_year = durable(tok.groupBy("cik", "token", "year").agg(F.sum("n").alias("c")))
+    tok = durable(known.select(*SENTENCE_KEY, "cik", "year", F.inline(word_counts(tx.lower_tokens(F.col("text"))))))
+    per_year = durable(tok.groupBy(*key).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("n_rows")))
     w_tok = Window.partitionBy("cik", "token").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     earlier = per_year.withColumn("before", F.coalesce(F.sum("c").over(w_tok), F.lit(0)))
     w_firm = Window.partitionBy("cik").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,14 +192,16 @@ def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> D
         "cik", "year", F.coalesce(F.sum("c").over(w_firm), F.lit(0)).alias("total_before")
     )
     vocab = per_year.select("token").distinct().agg(F.count("*").alias("v")).scalar()
-    # Stored, so that the join below meets two plain tables and a hot (firm, word) can be split.
-    prior = durable(earlier.join(totals, ["cik", "year"]).select(
-        "cik", "token", "year",
+    hot = F.broadcast(durable(hot_keys(per_year, key)))  # fewer than HOT_SHARE rows
+    prior = durable(earlier.join(totals, ["cik", "year"]).join(hot, key, "left").select(
+        *key, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("_salt"),
         (-F.log((F.col("before") + alpha) / (F.col("total_before") + alpha * vocab))).alias("info"),
     ))
+    dealt = tok.join(hot, key, "left").withColumn(
+        "_salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*SENTENCE_KEY), F.col("salts")).cast("int")))
     total = F.sum(F.col("info") * F.col("n"))
     value = {"mean": total / F.sum("n"), "sum": total, "max": F.max("info")}[agg]
-    return tok.join(prior, ["cik", "token", "year"]).groupBy(*SENTENCE_KEY, "cik", "year").agg(
+    return dealt.join(prior, [*key, "_salt"]).groupBy(*SENTENCE_KEY, "cik", "year").agg(
         F.sum("n").cast("long").alias("n_tokens"), value.alias("novelty_surprisal")
     )
 

@@ -202,7 +202,32 @@ def test_training_lowers_the_loss_and_is_repeatable(vectors):
     fit = [tr.KSparseEncoder(24, 4, 1e-2, 5, 32, shards=3).fit(df.repartition(p), KEY) for p in (2, 9)]
     losses = [r["loss"] for r in fit[0].loss_log.orderBy("epoch").collect()]
     assert losses[-1] < 0.5 * losses[0]
-    assert np.allclose(fit[0].weights.w_enc, fit[1].weights.w_enc, atol=1e-9)
+    assert np.array_equal(fit[0].weights.w_enc, fit[1].weights.w_enc)
+
+
+def test_training_does_not_follow_the_cluster(spark, vectors):
+    """The same bits under other partitions and numbers of shuffle tasks; the shards are those of the data."""
+    _, df = vectors
+    fits = []
+    for tasks in ("2", "4", "8", "33"):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        try:
+            models, log = tr.fit_ensemble(df.repartition(int(tasks)), KEY, [9], [3], 2, epochs=2, batch=16)
+            fits.append((sorted((r.replica, r.neuron, r.w_enc, r.b, r.w_dec) for r in models.collect()), sorted(map(tuple, log.collect()))))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert all(f == fits[0] for f in fits[1:]) and len(fits[0][0]) == 18
+    data, _ = tr._prepare(df, KEY, "embedding", tr.SHARDS, F.array(F.lit(True)))
+    assert data.select("_shard").distinct().count() == tr.SHARDS
+
+
+def test_given_start_and_no_rows(vectors):
+    _, df = vectors
+    w = tr.initial(5, 12, 9)
+    model = tr.KSparseEncoder(5, 2, 0.0, 1, 64, shards=4, start=w).fit(df, KEY)
+    assert all(np.allclose(a, b) for a, b in ((model.weights.w_enc, w.w_enc), (model.weights.b, w.b), (model.weights.w_dec, w.w_dec), (model.weights.c, w.c)))
+    with pytest.raises(ValueError):
+        tr.KSparseEncoder(5, 2).fit(df.limit(0), KEY)
 
 
 def test_one_shard_equals_plain_adam(vectors):
