@@ -11,7 +11,7 @@ from ..functions.durable import shared_folder
 from ..operators import concepts as cp, stability as sb, training as tr
 from ..plans import concept_panel as pc, event_panel as pe, text_scores as pt
 from ..streaming.loss_monitor import latest_status, loss_plateau_stream
-from . import views as v
+from . import tail_sql, views as v
 from .registry import oracle_sql, query
 from .views import with_views
 
@@ -67,9 +67,42 @@ def concept_selection(spark, d):
     return pc.select_concepts(p, ["novelty_cln_mean"], key=["accession_number", "item_type"], min_rows=20)
 
 
-@query("tested_coefficients")
+def _three_sql():
+    """OLS on three regressors by the adjugate of their cross products, robust errors, and both tests corrected."""
+    def minor(i, j):
+        r, c = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+        s = lambda p, q: f"s{min(p, q)}{max(p, q)}"
+        return f"({'-' if (i + j) % 2 else ''}({s(r[0], c[0])} * {s(r[1], c[1])} - {s(r[0], c[1])} * {s(r[1], c[0])}) / det)"
+
+    d = "d0 d1 d2".split()
+    sums = ", ".join(f"sum(d{i} * d{j}) as s{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"sum({x} * dy) as t{i}" for i, x in enumerate(d))
+    det = "s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02)"
+    inverse = ", ".join(f"{minor(i, j)} as i{i}{j}" for i in range(3) for j in range(3))
+    slopes = ", ".join(f"i{i}0 * t0 + i{i}1 * t1 + i{i}2 * t2 as b{i}" for i in range(3))
+    rows = ", ".join(f"i{i}0 * d0 + i{i}1 * d1 + i{i}2 * d2 as g{i}" for i in range(3))
+    variances = ", ".join(f"sqrt(sum(e * e * g{i} * g{i}) * any_value(n) / (any_value(n) - 4)) as se{i}, any_value(b{i}) as b{i}" for i in (1, 2))
+    return with_views(f"""
+  with c as (select x1 - m0 as d0, x2 - m1 as d1, x3 - m2 as d2, y - my as dy, n from panel,
+               (select avg(x1) as m0, avg(x2) as m1, avg(x3) as m2, avg(y) as my, count(*) * 1e0 as n from panel)),
+  s as (select {sums}, sum(dy * dy) as yy from c),
+  v as (select *, {inverse} from (select *, {det} as det from s)),
+  b as (select *, {slopes} from v),
+  r as (select c.*, yy, b0, b1, b2, dy - b0 * d0 - b1 * d1 - b2 * d2 as e, {rows} from c, b),
+  f as (select any_value(n) as n, 1 - sum(e * e) / any_value(yy) as r2, {variances} from r),
+  t as (select unnest(['x2', 'x3']) as feature, unnest([b1, b2]) as coef, unnest([se1, se2]) as se, n, r2 from f),
+  p as (select *, {tail_sql.normal_two_sided("coef / se")} as p from t),
+  q as (select *, least(case when p = max(p) over () then p else least(2 * p, max(p) over ()) end, 1) as q from p)
+  select feature, 'y' as outcome, round(coef, 10) as coefficient, round(se, 10) as std_error, round(coef / se, 4) as statistic, round(p, 8) as p_value,
+         cast(n as bigint) as n, round(r2, 8) as r2, round(1 - (1 - r2) * (n - 1) / (n - 4), 8) as adj_r2, round(q, 8) as p_value_fdr,
+         q <= 5e-2 as significant_fdr,
+         case when q < 1e-2 then '***' when q < 5e-2 then '**' when q < 1e-1 then '*' else '' end as sig_fdr from q""")
+
+
+@query("tested_coefficients", _three_sql())
 def tested_coefficients(spark, d):
-    return pe.tested_coefficients(v.panel(spark, d), "y", ["x1"], ["x2", "x3"])
+    out = pe.tested_coefficients(v.panel(spark, d), "y", ["x1"], ["x2", "x3"])
+    out = _round(_round(out, "coefficient", "std_error", digits=10), "statistic", digits=4)
+    return _round(out, "p_value", "r2", "adj_r2", "p_value_fdr", digits=8)
 
 
 @query("outcome_panel", with_views("""

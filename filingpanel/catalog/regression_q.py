@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import homotopy as hy, moments as mo, regression as rg, results as rs
-from . import lasso_sql, views as v
+from . import lasso_sql, tail_sql, views as v
 from .registry import query
 from .views import with_views
 
@@ -56,23 +56,25 @@ _OLS = """
                (d2 * s11 - d1 * s12) / (s11 * s22 - s12 * s12) as g2 from c, b),
   q as (select *, 1 / n - m1 * g1 - m2 * g2 as gc from r)"""
 _TERMS = """
-  select term, round(coef, 10) as coefficient, round(se, 10) as std_error, round(coef / se, 4) as statistic,
+  select term, round(coef, 10) as coefficient, round(se, 10) as std_error, round(coef / se, 4) as statistic, round(%s, 8) as p_value,
          cast(n as bigint) as n, round(r2, 8) as r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 8) as adj_r2
   from (select unnest(['const', 'x1', 'x2']) as term, unnest([b0, b1, b2]) as coef, unnest([sc, s1, s2]) as se, n, r2
         from fit)"""
 
 
+_NORMAL_TERMS, _T_TERMS = _TERMS % tail_sql.normal_two_sided("coef / se"), _TERMS % tail_sql.t_two_sided("coef / se", "(n - 3)")
+
+
 def _fit_table(fit, spark):
-    out = fit.table(spark).drop("p_value")
-    out = _round(out, "coefficient", "std_error", digits=10)
-    return _round(_round(out, "r2", "adj_r2", digits=8), "statistic", digits=4)
+    out = _round(fit.table(spark), "coefficient", "std_error", digits=10)
+    return _round(_round(out, "r2", "adj_r2", "p_value", digits=8), "statistic", digits=4)
 
 
 @query("ols_robust", with_views(f"""with {_OLS},
   fit as (select any_value(b0) as b0, any_value(b1) as b1, any_value(b2) as b2, any_value(n) as n,
             1 - sum(e * e) / any_value(yy) as r2, sqrt(sum(e*e*gc*gc) * any_value(n) / (any_value(n) - 3)) as sc,
             sqrt(sum(e*e*g1*g1) * any_value(n) / (any_value(n) - 3)) as s1,
-            sqrt(sum(e*e*g2*g2) * any_value(n) / (any_value(n) - 3)) as s2 from q) {_TERMS}"""))
+            sqrt(sum(e*e*g2*g2) * any_value(n) / (any_value(n) - 3)) as s2 from q) {_NORMAL_TERMS}"""))
 def ols_robust(spark, d):
     return _fit_table(rg.ols(v.panel(spark, d), "y", ["x1", "x2"]), spark)
 
@@ -81,7 +83,7 @@ def ols_robust(spark, d):
   fit as (select any_value(b0) as b0, any_value(b1) as b1, any_value(b2) as b2, any_value(n) as n,
             1 - sum(e * e) / any_value(yy) as r2, sqrt(sum(e * e) / (any_value(n) - 3) * sum(gc*gc)) as sc,
             sqrt(sum(e * e) / (any_value(n) - 3) * sum(g1*g1)) as s1,
-            sqrt(sum(e * e) / (any_value(n) - 3) * sum(g2*g2)) as s2 from q) {_TERMS}"""))
+            sqrt(sum(e * e) / (any_value(n) - 3) * sum(g2*g2)) as s2 from q) {_T_TERMS}"""))
 def ols_classic(spark, d):
     return _fit_table(rg.ols(v.panel(spark, d), "y", ["x1", "x2"], cov="classic"), spark)
 
@@ -92,31 +94,33 @@ def ols_classic(spark, d):
   f as (select any_value(b0) as b0, any_value(b1) as b1, any_value(b2) as b2, any_value(n) as n,
                1 - sum(e * e) / any_value(yy) as r2 from q),
   fit as (select f.*, sqrt(vc * k / (k - 1) * (n - 1) / (n - 3)) as sc, sqrt(v1 * k / (k - 1) * (n - 1) / (n - 3)) as s1,
-                 sqrt(v2 * k / (k - 1) * (n - 1) / (n - 3)) as s2 from f, k) {_TERMS}"""))
+                 sqrt(v2 * k / (k - 1) * (n - 1) / (n - 3)) as s2 from f, k) {_NORMAL_TERMS}"""))
 def ols_clustered(spark, d):
     return _fit_table(rg.ols(v.panel(spark, d), "y", ["x1", "x2"], cluster="cik"), spark)
 
 
 @query("compare_models", with_views(f"""with {_OLS},
   one as (select regr_r2(y, x1) as r2b from panel),
-  two as (select 1 - sum(e * e) / any_value(yy) as r2f, any_value(n) as n from q)
+  two as (select 1 - sum(e * e) / any_value(yy) as r2f, any_value(n) as n from q),
+  f as (select *, (r2f - r2b) / ((1 - r2f) / (n - 3)) as f from one, two)
   select 'y' as outcome, cast(n as bigint) as n_obs, round(r2b, 8) as r2_baseline, round(r2f, 8) as r2_full,
-         round(r2f - r2b, 8) as delta_r2, round((r2f - r2b) / ((1 - r2f) / (n - 3)), 4) as f_stat from one, two"""))
+         round(r2f - r2b, 8) as delta_r2, round(f, 4) as f_stat, round({tail_sql.f_upper("f", "1e0", "(n - 3)")}, 7) as f_pval from f"""))
 def compare_models(spark, d):
-    out = rg.compare_models(v.panel(spark, d), ["y"], ["x1"], ["x2"]).drop("f_pval")
-    return _round(_round(out, "r2_baseline", "r2_full", "delta_r2", digits=8), "f_stat", digits=4)
+    out = rg.compare_models(v.panel(spark, d), ["y"], ["x1"], ["x2"])
+    return _round(_round(_round(out, "r2_baseline", "r2_full", "delta_r2", digits=8), "f_stat", digits=4), "f_pval", digits=7)
 
 
 @query("joint_f_test", with_views(f"""with {_OLS},
   w as (select any_value(b1) as b1, any_value(b2) as b2, any_value(n) as n, 1 - sum(e * e) / any_value(yy) as r2,
                sum(e*e*g1*g1) * any_value(n) / (any_value(n) - 3) as v11,
                sum(e*e*g1*g2) * any_value(n) / (any_value(n) - 3) as v12,
-               sum(e*e*g2*g2) * any_value(n) / (any_value(n) - 3) as v22 from q)
-  select 2::bigint as n_features, round((b1*b1*v22 - 2*b1*b2*v12 + b2*b2*v11) / (v11*v22 - v12*v12) / 2, 6) as f_statistic,
-         round(r2, 8) as r_squared, cast(n as bigint) as n_obs from w"""))
+               sum(e*e*g2*g2) * any_value(n) / (any_value(n) - 3) as v22 from q),
+  f as (select *, (b1*b1*v22 - 2*b1*b2*v12 + b2*b2*v11) / (v11*v22 - v12*v12) / 2 as f from w)
+  select 2::bigint as n_features, round(f, 6) as f_statistic, round({tail_sql.f_upper("f", "2e0", "(n - 3)")}, 8) as p_value,
+         round(r2, 8) as r_squared, cast(n as bigint) as n_obs from f"""))
 def joint_f_test(spark, d):
-    out = rg.joint_f_test(spark, rg.ols(v.panel(spark, d), "y", ["x1", "x2"]), ["x1", "x2"]).drop("p_value")
-    return _round(_round(out, "r_squared", digits=8), "f_statistic")
+    out = rg.joint_f_test(spark, rg.ols(v.panel(spark, d), "y", ["x1", "x2"]), ["x1", "x2"])
+    return _round(_round(out, "r_squared", "p_value", digits=8), "f_statistic")
 
 
 @query("feature_correlations", with_views(" union all ".join(

@@ -11,7 +11,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import tails, vectors as vx
-from .moments import Moments, column_means, fit_moments, total
+from ..functions.durable import durable
+from .moments import Moments, column_means, fit_moments, moments, total
 from .sampling import kfold
 
 
@@ -50,6 +51,8 @@ class StandardizeModel:
 
 # ---------------------------------------------------------------- OLS
 
+ONE_PASS_COLUMNS = 64  # the moments of a cluster are (columns + 2)^2 numbers, its scores columns + 1
+
 
 @dataclass
 class OlsFit:
@@ -113,11 +116,18 @@ def ols(
 ) -> OlsFit:
     """OLS with constant.  ``cov``: HC1 or classic; ``cluster`` gives firm-clustered errors.
 
-    One pass for the moments, one for the middle of the sandwich.  With fewer
-    than two clusters the classic covariance is used.
+    One pass for the moments, one for the middle of the sandwich; with clusters and
+    at most ``ONE_PASS_COLUMNS`` columns the moments of the clusters serve for both.
+    With fewer than two clusters the classic covariance is used.
     """
     data = df.dropna(subset=[*xs, y] + ([cluster] if cluster else []))
-    m = fit_moments(data, xs, y).get(())
+    per_cluster = None
+    if cluster and len(xs) <= ONE_PASS_COLUMNS:
+        shift = column_means(data, [*xs, y])
+        per_cluster = durable(moments(data, xs, y, [cluster], shift))
+        m = _summed(per_cluster, shift)
+    else:
+        m = fit_moments(data, xs, y).get(())
     if m is None or m.n < min_rows:
         raise ValueError(f"fewer than {min_rows} complete rows")
     b, ssr, syy = _solve(m)
@@ -128,7 +138,7 @@ def ols(
         mid = fit_moments(data, xs, y, shift=m.shift, weight=lambda a: (a[:, k] - a[:, :k] @ b) ** 2)[()].a[:k, :k]
         v = bread @ mid @ bread * n / (n - k)
     elif kind == "cluster":
-        scores = _cluster_scores(data, y, xs, cluster, m.shift, b)
+        scores = _cluster_scores(data, y, xs, cluster, m.shift, b) if per_cluster is None else _scores_of(per_cluster, cluster, b)
         g, mid = _outer(scores)
         if g < 2:
             kind = "classic"
@@ -142,6 +152,20 @@ def ols(
     return OlsFit(["const", *xs], coef, t @ v @ t.T, n, 1 - ssr / syy, ssr, kind, n - k)
 
 
+def _summed(per_cluster: DataFrame, shift: np.ndarray) -> Moments | None:
+    """Moments of the whole table from those of its clusters."""
+    rows = per_cluster.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).collect()
+    return Moments(np.array([r["row"] for r in sorted(rows, key=lambda r: r["i"])]), shift) if rows else None
+
+
+def _scores_of(per_cluster: DataFrame, cluster: str, b: np.ndarray) -> DataFrame:
+    """Sum of x * residual per cluster as X'y - X'X b, from the stored moments."""
+    beta = F.array(*[F.lit(float(v)) for v in b])
+    score = F.get("row", F.lit(len(b))) - vx.dot(F.slice("row", 1, len(b)), beta)
+    return per_cluster.where(F.col("i") < len(b)).groupBy(cluster).agg(
+        F.array(*[F.max(F.when(F.col("i") == i, score)) for i in range(len(b))]).alias("s"))
+
+
 def _cluster_scores(data: DataFrame, y: str, xs: Sequence[str], cluster: str, shift, b) -> DataFrame:
     """Sum of x * residual per cluster: an aggregate, so a hot firm is combined before the shuffle."""
     a = F.array(F.lit(1.0), *[F.col(x).cast("double") - float(s) for x, s in zip(xs, shift)])
