@@ -66,14 +66,12 @@ stats AS ({stats}),
 cuts(rule, step, cut) AS (VALUES {cuts}),
 marks AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 goods AS (SELECT stratum, count(*) FILTER (good) AS n_good FROM counted JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
-sized AS (SELECT *, (SELECT 1 + count(*) FROM goods WHERE n_good > 0) AS n_strata FROM goods),
 tested AS (
-  SELECT home AS stratum, rule, step, cut, count(*) FILTER (good AND stat > cut) AS k, count(*) FILTER (good) AS n,
-         count(*) FILTER (NOT good AND stat > cut) AS caught, count(*) FILTER (NOT good) AS n_bad, max(n_strata) AS n_strata
-  FROM (SELECT s.*, m.good, z.n_strata,
-               CASE WHEN n_good * ln(1 - {each}) <= ln({delta} / (n_strata * {len(rules)})) THEN s.stratum ELSE '(other)' END AS home
-        FROM stats s JOIN marks m USING (doc_id) JOIN sized z USING (stratum) WHERE NOT base_failed) x JOIN cuts USING (rule)
-  GROUP BY home, rule, step, cut),
+  SELECT stratum, rule, step, cut, count(*) FILTER (good AND stat > cut) AS k, count(*) FILTER (good) AS n,
+         count(*) FILTER (NOT good AND stat > cut) AS caught, count(*) FILTER (NOT good) AS n_bad,
+         (SELECT count(*) FROM goods WHERE n_good > 0) AS n_strata
+  FROM (SELECT s.*, m.good FROM stats s JOIN marks m USING (doc_id) WHERE NOT base_failed) x JOIN cuts USING (rule)
+  GROUP BY stratum, rule, step, cut),
 passed AS (
   SELECT *, max(CASE WHEN n > 0 AND k < n * {each} AND list_sum(list_transform(range(0, k + 1), lambda j:
       exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({each}) + (n - j) * ln(1 - {each})))) <= {delta} / (n_strata * {len(rules)})
@@ -81,11 +79,7 @@ passed AS (
 useful AS (SELECT *, caught / n_bad - {quality.GOOD_WEIGHT} * k / n AS benefit FROM passed WHERE failed = 0 AND caught > 0),
 chosen AS (SELECT stratum, rule, cut FROM useful WHERE benefit > 0
            QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY benefit DESC, step) = 1),
-homes AS (SELECT stratum AS home FROM tested GROUP BY stratum),
-refused AS (
-  SELECT DISTINCT s.doc_id FROM stats s
-  JOIN chosen c ON c.rule = s.rule AND c.stratum = CASE WHEN s.stratum IN (SELECT home FROM homes) THEN s.stratum ELSE '(other)' END
-  WHERE s.stat > c.cut)
+refused AS (SELECT DISTINCT s.doc_id FROM stats s JOIN chosen c ON c.rule = s.rule AND c.stratum = s.stratum WHERE s.stat > c.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM refused) AS kept
 FROM counted

@@ -4,8 +4,8 @@ A rule rejects a document whose statistic lies above a cutoff. The cutoffs are t
 documents: testing from the most lenient cutoff on, a cutoff is certified while the exact binomial test rejects
 "more than ``alpha`` of the good documents of this stratum would be refused". Going in a fixed order needs no
 correction within a rule; ``delta`` is divided by the number of (stratum, rule) sequences, and ``alpha`` among the
-rules, so with probability 1 - delta no tested stratum loses more than ``alpha`` of its good documents. Strata with few
-labels are tested as one pool: the bound holds for the pool, not for each of its members or for strata without labels.
+rules, so with probability 1 - delta no stratum loses more than ``alpha`` of its good documents. A stratum whose labels are
+too few for a certificate, or that the labels do not know, is only judged by the base rules.
 """
 
 from __future__ import annotations
@@ -24,10 +24,9 @@ CUTOFFS = {
     "repeats": [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05],
     "long_words": [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0],
 }
-ALPHA, DELTA, MIN_WORDS, MAX_TERMS = 0.02, 0.05, 50, 20000
+ALPHA, DELTA, MIN_WORDS = 0.02, 0.05, 50
 GOOD_WEIGHT = 10.0  # a share of good documents refused weighs as much as ten times that share of bad ones kept
 SPACE = r"[\x20\x09-\x0D]+"
-OTHER = "(other)"
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
@@ -97,27 +96,25 @@ def log_factorial(n: Column) -> Column:
 def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
     """P(X <= k) for X binomial(n, alpha); 1 from the mean on.
 
-    Terms are added from k downwards, where they shrink; beyond ``MAX_TERMS`` of them the rest is bounded by a
-    geometric series, so the value is exact or larger, never smaller.
+    Terms are added from k downwards, where they shrink: the j-th one is at most exp(-j^2 / (2 n alpha)) of the first, so
+    all beyond ten times sqrt(n alpha) are together below the precision of a double, for any n.
     """
     top = (log_factorial(n) - log_factorial(k) - log_factorial(n - k)
            + k * math.log(alpha) + (n - k) * math.log1p(-alpha))
     odds = (1 - alpha) / alpha
+    terms = F.least(k, 40 + F.ceil(10 * F.sqrt(n * alpha)).cast("long"))
     step = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.least(k, F.lit(MAX_TERMS).cast("long"))),
+        F.sequence(F.lit(0).cast("long"), terms),
         F.struct(F.lit(0.0).alias("total"), F.lit(1.0).alias("term")),
         lambda acc, j: F.struct((acc["total"] + acc["term"]).alias("total"),
                                 (acc["term"] * (k - j) * odds / (n - k + j + 1)).alias("term")))
-    ratio = k * odds / (n - k + 1)
-    total = step["total"] + F.when(k > MAX_TERMS, step["term"] / (1 - ratio)).otherwise(0.0)
-    return F.when(k >= n * alpha, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top + F.log(total))))
+    return F.when(k >= n * alpha, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top + F.log(step["total"]))))
 
 
 def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``stratum`` and ``cut_<rule>`` (null: the rule refuses nothing there), a few rows.
+    """``stratum`` and ``cut_<rule>`` (null: the rule refuses nothing there): a row per stratum with a certified cutoff.
 
     ``labels``: doc_id, quality (1 good, 0 bad; null ignored; of several labels of a document the lowest counts).
-    A stratum with too few good labels to certify even a cutoff without a single false rejection joins ``OTHER``.
     All certified cutoffs keep the guarantee; the one with the largest share of bad documents caught, less ``GOOD_WEIGHT``
     times the share of good ones refused, is taken, the more lenient of equals.
     """
@@ -131,25 +128,16 @@ def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
         feats.where(~base_failed()).join(marks, "doc_id").select("stratum", (F.col("quality") > 0).alias("good"), F.explode(levels).alias("l"))
         .groupBy("stratum", "good", "l.rule", "l.refusals").agg(F.count(F.lit(1)).alias("n")), "quality-counts")
 
-    # strata that could pass a test at the level left after correction, if every stratum were tested
-    of_stratum = counts.where(F.col("good") & (F.col("rule") == rules[0])).groupBy("stratum").agg(F.sum("n").alias("n_good"))
-    strata = of_stratum.agg((F.count(F.lit(1)) + 1).alias("n_strata")).withColumn("one", F.lit(1))
-    sized = of_stratum.withColumn("one", F.lit(1)).join(strata, "one").select(
-        "stratum", "n_strata",
-        (F.col("n_good") * math.log1p(-per_rule) <= F.log(delta / (F.col("n_strata") * len(rules)))).alias("own"))
-    merged = (
-        counts.join(sized, "stratum", "left")
-        .withColumn("stratum", F.when(F.col("own"), F.col("stratum")).otherwise(F.lit(OTHER)))
-        .groupBy("stratum", "rule", "refusals", "good").agg(F.sum("n").alias("n"), F.max("n_strata").alias("n_strata")))
+    n_strata = counts.where("good").agg(F.count_distinct("stratum")).scalar()
     steps = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r, len(CUTOFFS[r]))]), F.col("rule"))
-    at = merged.withColumn("steps", steps).withColumn("step", F.explode(F.sequence(F.lit(1), F.col("steps"))))
+    at = counts.withColumn("steps", steps).withColumn("step", F.explode(F.sequence(F.lit(1), F.col("steps"))))
     refused = F.col("refusals") > F.col("steps") - F.col("step")
     good = F.col("good")
     tested = at.groupBy("stratum", "rule", "step").agg(
         F.sum(F.when(good & refused, F.col("n")).otherwise(0)).alias("k"), F.sum(F.when(good, F.col("n")).otherwise(0)).alias("n"),
         F.sum(F.when(~good & refused, F.col("n")).otherwise(0)).alias("caught"),
-        F.sum(F.when(~good, F.col("n")).otherwise(0)).alias("n_bad"), F.max("n_strata").alias("n_strata"))
-    level = delta / (F.col("n_strata") * len(rules))
+        F.sum(F.when(~good, F.col("n")).otherwise(0)).alias("n_bad"))
+    level = delta / (n_strata * len(rules))
     order = Window.partitionBy("stratum", "rule").orderBy("step")
     certified = (
         tested.withColumn("p", F.when(F.col("n") > 0, binomial_tail(F.col("k"), F.col("n"), per_rule)).otherwise(1.0))
@@ -159,9 +147,7 @@ def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     best = F.max_by("step", F.struct("use", (-F.col("step")).alias("lenient")))
     chosen = certified.where("use > 0").groupBy("stratum", "rule").agg(best.alias("step")).withColumn("cut", F.element_at(cuts, F.col("step")))
     picked = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in rules])
-    # every stratum of the labels has a row, so that one without a certified rule does not fall back to OTHER
-    own = merged.select("stratum").distinct()
-    return staged(own.join(picked, "stratum", "left"), "quality-thresholds")
+    return staged(picked, "quality-thresholds")
 
 
 def _below(stat: Column):
@@ -169,18 +155,13 @@ def _below(stat: Column):
 
 
 def judged(feats: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``feats`` with ``base_failed`` and ``kept``. Strata that the labels do not know take the cutoffs of ``OTHER``.
+    """``feats`` with ``base_failed`` and ``kept``. Strata without cutoffs of their own lose nothing beyond the base rules.
 
     ``cuts`` is a stored table of a few rows; the planner broadcasts it after looking at its size.
     """
-    rules = list(CUTOFFS)
-    other = cuts.where(F.col("stratum") == OTHER).select(F.lit(OTHER).alias("_other"), *[F.col(f"cut_{r}").alias(f"other_{r}") for r in rules])
-    known = cuts.where(F.col("stratum") != OTHER).withColumn("_known", F.lit(True))
-    joined = feats.join(known, "stratum", "left").withColumn("_other", F.lit(OTHER)).join(other, "_other", "left")
-    stats, refused = statistics(), F.lit(False)
-    for r in rules:
-        cut = F.when(F.col("_known"), F.col(f"cut_{r}")).otherwise(F.col(f"other_{r}"))
-        refused = refused | F.coalesce(stats[r] > cut, F.lit(False))
+    joined, stats, refused = feats.join(cuts, "stratum", "left"), statistics(), F.lit(False)
+    for r in CUTOFFS:
+        refused = refused | F.coalesce(stats[r] > F.col(f"cut_{r}"), F.lit(False))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~refused)
 
 

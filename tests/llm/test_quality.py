@@ -72,6 +72,30 @@ def test_cutoffs_catch_bad_and_spare_good(spark):
     assert quality.quality_verdicts(docs.limit(0), labels).count() == 0
 
 
+def test_strata_without_a_certificate_refuse_nothing(spark):
+    """Languages with few or no labels keep all that pass the base rules, however many others are certified."""
+    rng = random.Random(3)
+    rows = labelled(rng, "en", 1500, 200) + labelled(rng, "de", 1500, 150) + labelled(rng, "fi", 300, 100) + labelled(rng, "xx", 90, 60)
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, (_, lang, q) in enumerate(rows) if lang != "xx"], "doc_id long, quality int")
+    refused = {r.doc_id for r in quality.quality_verdicts(docs, labels).where("not kept").collect()}
+    assert refused == {i for i, (_, lang, q) in enumerate(rows) if q == 0 and lang in ("en", "de")}
+    feats = quality.features(docs)
+    assert {r.stratum for r in quality.thresholds(feats, labels).collect()} == {"en", "de"}
+
+
+@pytest.mark.parametrize("k", [4_900_000, 4_990_000, 4_999_000])
+def test_tail_of_very_many_labels(spark, k):
+    """n of a billion: the tail against the normal one with its first correction."""
+    n, alpha = 10**9, 0.005
+    sd = math.sqrt(n * alpha * (1 - alpha))
+    z = (k + 0.5 - n * alpha) / sd
+    skew = (1 - 2 * alpha) / sd
+    want = 0.5 * math.erfc(-z / math.sqrt(2)) - skew / 6 * (z * z - 1) * math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    got = spark.range(1).select(quality.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), alpha).alias("p")).first().p
+    assert got == pytest.approx(want, rel=2e-4) or max(got, want) < 1e-200
+
+
 def test_a_rule_is_refused_when_it_would_cost_good_documents(spark):
     rng = random.Random(2)
     rows = labelled(rng, "en", 1500, 200)
