@@ -137,12 +137,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     """Adds ``sequence_id`` and ``offset`` to ``doc_id, piece, start, length, ids_crc32``.
 
     The pieces are dealt by a hash into groups of about ``group_pieces``, however many there are, so each group is
-    bounded and has the mixture of lengths of the whole; a group is packed by itself, longest pieces first.
+    bounded and has the mixture of lengths of the whole; a group is packed by itself, longest pieces first. The place of a
+    row in ``pieces``, a stored table, is part of the hash, so equal rows spread over the groups, too.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     small = pieces.select(*columns)
     groups = max(1, -(-small.count() // group_pieces))
-    small = small.withColumn("_group", F.pmod(F.xxhash64(*columns), F.lit(groups)).cast("int"))
+    small = small.withColumn("_group", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

@@ -6,6 +6,8 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from filingpanel.llm import packing
 
 PATH = P.path("word_bpe_49k.json")
@@ -66,6 +68,14 @@ def test_groups_are_bounded_and_well_filled(spark):
     assert len({r.sequence_id for r in got}) <= -(-sum(lengths) // 4096) + 8
 
 
+def test_equal_rows_spread_over_the_groups(spark):
+    rows = spark.range(40000).repartition(6).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        F.lit(1).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"))
+    got = packing.pack(rows, group_pieces=4000).groupBy(F.shiftright("sequence_id", 40).alias("g")).count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 5000
+
+
 def test_the_place_is_where_the_squares_become_smallest():
     rng = random.Random(2)
     lengths = [rng.randrange(1, 13) for _ in range(300)]
