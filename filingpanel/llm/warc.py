@@ -25,6 +25,7 @@ from .common import new_path, staged
 SKIPPABLE_MAGIC, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FRAME_BYTES, BUNDLE_BYTES, MIN_REVISIT_BYTES = 256 << 10, 32 << 20, 100
+READ_BYTES, STRETCH = 128 << 20, 64  # packed bytes of one reading task, frames of a bundle that it reads together
 
 INDEX = "record_id string, bundle string, frame int, frame_start long, frame_size int, offset int, length int"
 RECORD = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -206,10 +207,15 @@ def _arrow_record() -> pa.Schema:
 def read_bundles(index: DataFrame, payload: bool = True) -> DataFrame:
     """All records that the index names (see ``RECORD``), read through the seek tables.
 
-    The unit of work is a frame, so one large bundle is shared by many tasks. Pass a filtered index to fetch
-    chosen records only: other frames are not touched.
+    Frames are dealt to tasks by stretches of about ``STRETCH`` neighbours, as many tasks as their bytes need at
+    ``READ_BYTES`` each, at least one per slot of the cluster; so one large bundle is shared by many tasks. Pass a filtered
+    index to fetch chosen records only: other frames are not touched. An empty index gives no records.
     """
-    wanted = index.groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
+    frames = index.groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"), F.first("frame_size").alias("size"))
+    total, count = frames.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    slots = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // READ_BYTES), min(count, slots))
+    wanted = frames.drop("size").repartition(tasks, "bundle", F.floor(F.col("frame") / (STRETCH if count > tasks * STRETCH else 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

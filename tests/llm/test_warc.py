@@ -56,6 +56,17 @@ def test_bundles_are_seekable(spark, monkeypatch):
     assert struct.unpack("<I", data[-4:])[0] == warc.SEEK_MAGIC
 
 
+def test_reading_is_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 400)
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    pages = spark.range(300).repartition(1).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 256), 3) AS html")
+    index = warc.write_bundles(warc.mark_revisits(pages))
+    out = warc.read_bundles(index)
+    sizes = [r.frame_size for r in index.dropDuplicates(["bundle", "frame"]).collect()]
+    assert out.rdd.getNumPartitions() == -(-sum(sizes) // 2000) > 8
+    assert sorted(r.page_id for r in out.collect()) == list(range(300))
+
+
 def test_chosen_records_only(spark):
     index = warc.write_bundles(warc.mark_revisits(frame(spark)))
     rows = warc.read_bundles(index.where("record_id = 'urn:page:3'")).collect()
