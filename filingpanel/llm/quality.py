@@ -177,6 +177,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The documents that are kept, with all their columns; the text is judged in place and never shuffled."""
-    cuts = thresholds(staged(features(docs), "quality-features"), labels, alpha, delta)
-    return judged(features(docs, carry=tuple(docs.columns)), cuts).where("kept").select("row.*")
+    """The documents that are kept, with all their columns. Rows and their counts are stored once: the text is read once
+    and never shuffled."""
+    feats = staged(features(docs, carry=tuple(docs.columns)), "quality-features")
+    return judged(feats, thresholds(feats, labels, alpha, delta)).where("kept").select("row.*")

@@ -557,14 +557,16 @@ def similar_components(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: f
     wanted = staged(hits.join(classes.select("node", F.col("first_id").alias("id"), "k1", "k2", "fp"), "node"), "wanted")
     drop_staged(hits)
     some = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    ids = wanted.select(F.col("id").alias("_wanted")).distinct()
+    ids = staged(wanted.select(F.col("id").alias("_wanted")).distinct(), "wanted-ids")  # stored: while small, the text is not shuffled to meet it
     made = _members_of_sets(some.join(ids, F.col("id").eqNullSafe(F.col("_wanted")), "left_semi"), width)
     # the row of the class's first id, or several equal ones, which do no harm
     at = wanted.select("*", *[F.col(c).alias(f"_{c}") for c in ("id", "k1", "k2")]).drop("id", "k1", "k2")
     match = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
     found = staged(set_links(made.join(at, match), similarity, radius), "links")
-    drop_staged(wanted)
-    return _named(rows, classes, found, ["k1", "k2"]).select("doc_id", "digest", "component_id")
+    drop_staged(wanted, ids)
+    out = _named(rows, classes, found, ["k1", "k2"]).select("doc_id", "digest", "component_id")
+    drop_staged(classes, found)
+    return out
 
 
 def search_radius(similarity: float, bits: int) -> int:
@@ -581,6 +583,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = similar_components(docs, id_col=id_col, text_col=text_col, **options)
     leave = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest")).distinct(), "near-copies")
+    drop_staged(found)
     same = (F.col(f"`{id_col}`") == F.col("_near_id")) & (F.unhex(F.md5(text_of(text_col))) == F.col("_near_digest"))
     return docs.join(leave, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
