@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, functions as F
-
-from ..operators import quality as qa
+from ..functions.durable import durable
+from ..operators import quality as qa, textscore as ts
 from . import views as v
 from .registry import query
 from .views import with_views
@@ -203,21 +202,17 @@ def loss_log_check(spark, d):
 
 
 def _checks(spark, d):
-    doc, sent = v.document(spark, d), v.sentence(spark, d)
-    parts = [
-        qa.check_schema(doc, ["accession_number", "cik", "text"], "documents"),
-        qa.check_from(qa.check_unique(doc, ["accession_number", "item_type"]), "documents", "unique keys",
-                      F.col("n_duplicates") == 0, F.col("n_duplicates")),
-        qa.check_from(qa.check_coverage(doc, ["cik"]), "documents", "cik coverage", ~F.col("low"), F.round("pct", 2),
-                      "warning"),
-        qa.check_from(qa.check_text(sent), "sentences", "no empty text", F.col("n_empty") == 0, F.col("n_empty")),
-        qa.check_from(qa.check_range(v.scored(spark, d), "novelty_cln"), "sentences", "novelty within 0 and 1",
-                      F.col("n_below") + F.col("n_above") == 0, F.col("n_above"), "warning"),
-        qa.check_from(qa.check_count_match(sent, v.table(spark, d, "embeddings")), "embeddings", "one per sentence",
-                      F.col("match"), F.col("n_second")),
-        qa.check_from(qa.item_distribution(sent), "sentences", "items", F.lit(True), F.col("n"), "info"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """One read per table; sentences are split once and stored."""
+    sents = durable(v.sentence(spark, d))
+    documents = qa.TableChecks(v.document(spark, d), "documents").has_columns(["accession_number", "cik", "text"]).unique(
+        ["accession_number", "item_type"]).covered("cik")
+    sentences = qa.TableChecks(sents, "sentences").none_where(
+        "no empty text", F.col("text").isNull() | (F.length("text") == 0)).counted("item_type", "items")
+    novelty = F.col("novelty_cln")
+    scores = qa.TableChecks(ts.novelty_proxy(sents), "sentences").none_where(
+        "novelty within 0 and 1", (novelty < 0) | (novelty > 1), "warning")
+    embeddings = qa.TableChecks(v.table(spark, d, "embeddings"), "embeddings").as_many_as("one per sentence", sentences)
+    return qa.checks_table(spark, [documents, sentences, scores, embeddings])
 
 
 @query("validation_report", with_views("""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.durable import durable
 from ..functions.quantiles import sparse_quantile
 from ..functions.sampling import cap_per_group, hash_rank, lowest_ranked
 from .textscore import SENTENCE_KEY
@@ -34,8 +36,7 @@ def low_examples(
 
     With fewer than ``n`` such sentences the rows up to the ``q`` quantile are
     used instead.  Zeros are not stored: a sentence gives the wanted features
-    that are missing from its active ones, and each task keeps the ``n`` lowest
-    ranks per feature before anything is shuffled.
+    that are missing from its active ones, in the walk of ``first_zeros``.
     """
     features = list(features)
     act = _of(long, features)
@@ -43,10 +44,9 @@ def low_examples(
     active = {r["feature_id"]: r["c"] for r in act.groupBy("feature_id").agg(F.count("*").alias("c")).collect()}
     plenty = [f for f in features if total - active.get(f, 0) >= n]
     scarce = [f for f in features if f not in plenty]
-    keys = sents.select(*SENTENCE_KEY)
     rank = hash_rank(seed, *SENTENCE_KEY)
 
-    out = _zeros(keys, act, features)
+    out = first_zeros(sents, act, {f: total - active.get(f, 0) for f in features}, n, rank)
     if scarce:
         thr = sparse_quantile(_of(act, scarce), sents, "feature_id", "value", q, "threshold")
         below = act.join(F.broadcast(thr), "feature_id").where(F.col("value") <= F.col("threshold"))
@@ -54,13 +54,34 @@ def low_examples(
     return _with_text(cap_per_group(out, ["feature_id"], n, rank), sents, seed)
 
 
-def _zeros(keys: DataFrame, act: DataFrame, features: Sequence[int]) -> DataFrame:
-    """(sentence, feature) without activation, for the given features."""
-    active = act.groupBy(*SENTENCE_KEY).agg(F.collect_set(F.col("feature_id").cast("int")).alias("_on"))  # at most k per sentence
-    wanted = F.array(*[F.lit(f) for f in features])
-    missing = F.array_except(wanted, F.coalesce("_on", F.array().cast("array<int>")))
-    return keys.select(*SENTENCE_KEY).join(active, SENTENCE_KEY, "left").select(
-        *SENTENCE_KEY, F.explode(missing).alias("feature_id"), F.lit(0.0).alias("value"))
+SURE = 10.0  # standard deviations by which the first range of a feature exceeds the rows it needs
+
+
+def first_zeros(sents: DataFrame, act: DataFrame, zeros: dict[int, int], n: int, rank: Column) -> DataFrame:
+    """``SENTENCE_KEY, feature_id, value`` of sentences without activation: for each feature at least its ``n`` of lowest rank,
+    or all it has.  ``zeros``: their number per feature.
+
+    Sentences are walked in the order of their hash.  A feature looks at a range of hashes that holds about ``n`` of its
+    zeros, and leaves with it once they are found; otherwise its range is widened.  So pairs of a sentence and
+    a feature are made for some ``n`` / (share of zeros) sentences per feature, not for all.
+    """
+    sents = sents.select(*SENTENCE_KEY, (F.conv(F.substring(rank, 1, 13), 16, 10).cast("double") / 16.0 ** 13).alias("_u"))
+    act = act.select(*SENTENCE_KEY, F.col("feature_id").cast("int").alias("feature_id"), (F.conv(F.substring(rank, 1, 13), 16, 10).cast("double") / 16.0 ** 13).alias("_u"))
+    limits = {f: min(1.0, (n + SURE * n ** 0.5 + SURE) / max(z, 1)) for f, z in zeros.items()}
+    found = []
+    while limits:
+        near = F.col("_u") <= max(limits.values())
+        active = act.where(near).groupBy(*SENTENCE_KEY).agg(F.collect_set("feature_id").alias("_on"))  # at most k per sentence
+        wanted = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(limit).alias("limit")) for f, limit in sorted(limits.items())])
+        within = F.transform(F.filter(wanted, lambda w: F.col("_u") <= w["limit"]), lambda w: w["f"])
+        missing = F.array_except(within, F.coalesce("_on", F.array().cast("array<int>")))
+        pairs = durable(sents.where(near).join(active, SENTENCE_KEY, "left").select(
+            *SENTENCE_KEY, F.explode(missing).alias("feature_id"), F.lit(0.0).alias("value")))
+        have = {r["feature_id"]: r["c"] for r in pairs.groupBy("feature_id").agg(F.count(F.lit(1)).alias("c")).collect()}
+        done = [f for f, limit in limits.items() if limit >= 1.0 or have.get(f, 0) >= n]
+        found.append(pairs.where(F.col("feature_id").isin(*done)))
+        limits = {f: min(1.0, 4 * limit) for f, limit in limits.items() if f not in done}
+    return reduce(DataFrame.unionByName, found)
 
 
 def _with_text(picked: DataFrame, sents: DataFrame, seed: int) -> DataFrame:

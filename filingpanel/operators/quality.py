@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.quantiles import exact_quantiles
 from .controls import coverage
@@ -62,6 +62,81 @@ def check_from(df: DataFrame, phase: str, name: str, passed: Column, detail: Col
         F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
 
 
+class TableChecks:
+    """Checks of one table that are all measured while it is read once.
+
+    Sums and counts are observed metrics of the scan; counts by key, if asked for, are the aggregate that the
+    scan feeds, so uniqueness and a distribution cost no further read. The driver sees one number per check and
+    one per value of ``by``.
+    """
+
+    def __init__(self, df: DataFrame, phase: str):
+        self.df, self.phase = df, phase
+        self._metrics: dict[str, Column] = {"n": F.count(F.lit(1))}
+        self._rules: list = []  # functions from the metrics to rows of CHECK
+        self._keys: list[str] = []
+        self._by: str | None = None
+
+    def _add(self, name: str, severity: str, passed: Callable[[dict], bool], detail: Callable[[dict], object]) -> TableChecks:
+        self._rules.append(lambda m: (self.phase, name, bool(passed(m)), severity, str(detail(m))))
+        return self
+
+    def has_columns(self, cols: Sequence[str], prefix: bool = False) -> TableChecks:
+        missing = [c for c in cols if not any(x == c or prefix and x.startswith(c) for x in self.df.columns)]
+        return self._add("schema", "error", lambda m: not missing, lambda m: ", ".join(missing) or "all present")
+
+    def none_where(self, name: str, bad: Column, severity: str = "error") -> TableChecks:
+        """No row meets ``bad``."""
+        key = f"none {len(self._metrics)}"
+        self._metrics[key] = F.count_if(F.coalesce(bad, F.lit(False)))
+        return self._add(name, severity, lambda m: m[key] == 0, lambda m: m[key])
+
+    def covered(self, col: str, minimum: float = 0.5, severity: str = "warning") -> TableChecks:
+        """At least a share of ``minimum`` of the rows has a value; the detail is the percentage."""
+        self._metrics[f"has {col}"] = F.count(col)
+        share = lambda m: m[f"has {col}"] / m["n"] if m["n"] else 0.0
+        return self._add(f"{col} coverage", severity, lambda m: share(m) >= minimum, lambda m: round(100 * share(m), 2))
+
+    def as_many_as(self, name: str, other: TableChecks) -> TableChecks:
+        """As many rows as another table, which is measured first."""
+        return self._add(name, "error", lambda m: m["n"] == other.measured["n"], lambda m: m["n"])
+
+    def unique(self, keys: Sequence[str], name: str = "unique keys") -> TableChecks:
+        self._keys = list(keys)
+        return self._add(name, "error", lambda m: m["duplicates"] == 0, lambda m: m["duplicates"])
+
+    def counted(self, by: str, name: str) -> TableChecks:
+        """Rows per value of a column with few values, for information."""
+        self._by = by
+        self._rules.append(lambda m: [(self.phase, name, True, "info", str(n)) for _, n in m["by"]])
+        return self
+
+    @cached_property
+    def measured(self) -> dict:
+        seen = Observation()
+        df = self.df.observe(seen, *[c.alias(k) for k, c in self._metrics.items()])
+        # distinct keys of each value of ``by``: one aggregate over the keys and one over its result
+        groups = [*self._keys, *([self._by] if self._by and self._by not in self._keys else [])]
+        counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_c"))
+        by = [F.col(self._by).alias("by")] if self._by else [F.lit(None).alias("by")]
+        rows = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") - 1).alias("d")).collect()
+        # the planner may leave out the scan of an empty table, and its metrics with it; they are all counts
+        found = seen.get if any(r["n"] for r in rows) else dict.fromkeys(self._metrics, 0)
+        return found | {"duplicates": sum(r["d"] for r in rows if self._keys and r["d"]), "by": [(r["by"], r["n"]) for r in rows if r["n"]]}
+
+    def rows(self) -> list[tuple]:
+        out = []
+        for rule in self._rules:
+            found = rule(self.measured)
+            out += found if isinstance(found, list) else [found]
+        return out
+
+
+def checks_table(spark: SparkSession, tables: Sequence[TableChecks]) -> DataFrame:
+    """The checks of all tables as rows."""
+    return spark.createDataFrame([r for t in tables for r in t.rows()], CHECK)
+
+
 def null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls per required column."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
