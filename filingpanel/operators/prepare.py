@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from ..functions.sides import measured
 from ..sources.filings import cik_of_accession
 
 DOC_KEYS = ["accession_number", "cik", "year", "filing_date", "item_type"]
@@ -44,12 +45,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def consolidate_items(items: list[DataFrame], metadata: DataFrame) -> DataFrame:
-    """Union of the item tables with the filing date of the metadata (left join, first date per filing)."""
+    """Union of the item tables with the filing date of the metadata (left join, first date per filing).
+
+    The dates are stored and measured first: below ``sides.MAX_BROADCAST_BYTES`` the texts are not shuffled to meet them.
+    """
     docs = reduce(lambda a, b: a.unionByName(b), items)
     dates = metadata.where(F.col("accession_number").isNotNull()).groupBy("accession_number").agg(
         F.min("filing_date").alias("filing_date")
     )
-    return docs.drop("filing_date").join(dates, "accession_number", "left")
+    return docs.drop("filing_date").join(measured(dates), "accession_number", "left")
 
 
 def date_coverage(docs: DataFrame) -> DataFrame:
@@ -79,11 +83,12 @@ def enrich_documents(docs: DataFrame, tickers: DataFrame, filings: DataFrame) ->
 
 
 def enrich_sentences(df: DataFrame, meta: DataFrame) -> DataFrame:
-    """Replace ticker, company name and filing date by those of the (cik, accession) metadata."""
+    """Replace ticker, company name and filing date by those of the (cik, accession) metadata, measured as in
+    ``consolidate_items``."""
     keys = ["cik", "accession_number"]
     new = ["ticker", "company_name", "filing_date"]
     right = first_per_key(meta.select(*keys, *new), keys, new)
-    return df.drop(*new).join(right, keys, "left")
+    return df.drop(*new).join(measured(right), keys, "left")
 
 
 def sentence_table(docs: DataFrame, min_length: int = 20) -> DataFrame:
