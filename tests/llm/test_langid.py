@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from filingpanel.llm import langid
 
@@ -59,3 +61,89 @@ def test_calibration_bound():
     t, bound = langid.calibrate(z, np.array([0, 0, 1, 1, 0]))
     p = langid.softmax(z / t).max(axis=1)
     assert ((p >= bound) == [True, True, True, False, False]).all()
+
+
+def plain_buckets(text):
+    """Subwords word by word, hash byte by byte."""
+    out = []
+    for word in "".join(chr(langid.NORMAL[b]) for b in text.encode()).split(" "):
+        edged = f" {word} "
+        for n in (2, 3, 4) if word else ():
+            for i in range(len(edged) - n + 1):
+                gram = edged[i:i + n]
+                if gram[0] == gram[-1] == " ":
+                    continue
+                code = n
+                for c in gram:
+                    code = (code * 0x01000193 % 2**32) ^ ord(c)
+                code ^= code >> 15
+                out.append((code * 0x2C1B3C6D % 2**32) >> 17)
+    return out
+
+
+def plain_answer(model, text):
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    grams = plain_buckets(text)
+    z = [sum(float(model.table[g, k]) for g in grams) / max(len(grams), 1) + float(model.bias[k]) for k in range(len(model.langs))]
+    e = [math.exp((v - max(z)) / model.temperature) for v in z]
+    return model.langs[e.index(max(e))], max(e) / sum(e)
+
+
+def test_predictions_against_a_plain_forward_pass(spark):
+    rng = random.Random(4)
+    rows = [(t, lang) for lang in SYLLABLES for t in texts(rng, lang, 60)]
+    odd = [None, "", "7 8 9", "A", "a b c", "Ünïcödé 漢字", "x1y2--z3", " lead", "ka\tlo\nmi", "ação" * 300, "ka sch ção"]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows + [(t, None) for t in odd])], "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df)
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    for i, (t, _) in enumerate(rows + [(t, None) for t in odd]):
+        lang, score = plain_answer(model, t)
+        assert got[i].score == pytest.approx(score, abs=1e-9) and got[i].rejected == (got[i].score < model.reject_below)
+        assert got[i].lang_pred == lang or score < 0.51  # a tie of two languages may fall either way
+
+
+def test_training_steps_follow_numeric_gradients(monkeypatch):
+    """Two documents, one epoch: each step against finite differences of the log loss of its document."""
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    bags = [(np.array([3, 9]), np.array([0.25, 0.75], np.float32)), (np.array([3, 5, 7]), np.array([0.5, 0.25, 0.25], np.float32))]
+    labels = np.array([1, 0])
+    table, bias = langid.train(bags, labels, 2)
+
+    rng = np.random.default_rng(langid.SEED)
+    embed = rng.uniform(-1 / langid.DIM, 1 / langid.DIM, (langid.BUCKETS, langid.DIM)).astype(np.float32).astype(float)
+    weights, b, done = np.zeros((langid.DIM, 2)), np.zeros(2), 0
+    for i in rng.permutation(2):
+        at, share = bags[i]
+        rate, rows = langid.RATE * (1 - done / 2), embed[at].copy()
+        done += 1
+
+        def loss():
+            z = share.astype(float) @ rows @ weights + b
+            return math.log(np.exp(z - z.max()).sum()) + z.max() - z[labels[i]]
+
+        grads = []
+        for x in (weights, b, rows):
+            g = np.zeros_like(x)
+            for k in np.ndindex(x.shape):
+                old, x[k] = x[k], x[k] + 1e-6
+                up = loss()
+                x[k] = old - 1e-6
+                g[k], x[k] = (up - loss()) / 2e-6, old
+            grads.append(g)
+        weights -= rate * grads[0]
+        b -= rate * grads[1]
+        embed[at] = rows - rate / share.max() * grads[2]  # the documented scaling of the step of the mean
+    assert np.allclose(table, embed @ weights, atol=1e-6) and np.allclose(bias, b, atol=1e-6)
+
+
+def test_calibration_against_all_bounds():
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(400, 3)) * 3
+    labels = np.where(rng.random(400) < 0.9, z.argmax(axis=1), rng.integers(0, 3, 400))
+    t, bound = langid.calibrate(z, labels)
+    p = langid.softmax(z / t)
+    score, right = p.max(axis=1), p.argmax(axis=1) == labels
+    passing = [s for s in score if right[score >= s].mean() >= langid.TARGET_ACCURACY]
+    assert bound == pytest.approx(min(passing) if passing else 1.0)
+    assert langid.calibrate(np.zeros((0, 3)), np.zeros(0, int)) == (1.0, 0.0)
