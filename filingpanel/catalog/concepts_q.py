@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import concepts as cp, stability as sb
+from ..sources.store import spread
 from . import views as v
 from .registry import query
 from .views import with_views
@@ -31,7 +32,7 @@ def _elements(df, key, vector="embedding"):
                sum(case when cast('0x' || substr(md5(gram), 9, 1) as bigint) % 2 = 1 then -1 else 1 end) as n from g group by 1, 2)
   select doc_id, cast(dim as int) as dim, round(cast(cast(n / sqrt(sum(n * n) over (partition by doc_id)) as float) as double), 5) as value from c where n <> 0""")
 def hashed_embedding(spark, d):
-    out = cp.embed(v.table(spark, d, "documents").select("doc_id", "text"), dim=64)
+    out = cp.embed(spread(v.table(spark, d, "documents").select("doc_id", "text"), v._parts(spark), "doc_id"), dim=64)
     return _round(out.select("doc_id", F.posexplode(vx.as_double(F.col("embedding"))).alias("dim", "value")).where("value <> 0"), "value", digits=5)
 
 

@@ -200,18 +200,16 @@ def hashed_counts(text: Column, dim: int) -> Column:
     """Signed counts of the lower-case tokens and token pairs of a text, in ``dim`` places: an array of longs.
 
     The MD5 of a token says where it counts (first eight hex digits modulo ``dim``) and with which sign (minus for an odd
-    ninth digit). Places are found by one sort of all codes together with each possible code once, so the work
-    grows with the text and ``dim``, not with their product.
+    ninth digit). The nine digits are one number, whose ninth keeps only its last bit. Places are found by one sort of all codes
+    together with each possible code once, so the work grows with the text and ``dim``, not with their product.
     """
-    def code(gram: Column) -> Column:
-        h = F.md5(gram)
-        place = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim
-        return 2 * place + F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % 2
+    def code(gram: Column) -> Column:  # 16 * place, one more for minus
+        return F.conv(F.substring(F.md5(gram), 1, 9), 16, 10).cast("long").bitwiseAND(~14) % (16 * dim)
 
-    def grams(words: Column) -> Column:
+    def coded(words: Column) -> Column:
         pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)),
-                           lambda a, b: F.concat_ws(" ", a, b))
-        return F.concat(words, pairs)
+                           lambda a, b: code(F.concat(a, F.lit(" "), b)))
+        return F.concat(F.transform(words, code), pairs, every)
 
     def ends(codes: Column) -> Column:
         """Where each code has its last place in the sorted array."""
@@ -219,16 +217,15 @@ def hashed_counts(text: Column, dim: int) -> Column:
         return F.filter(last, lambda i: i.isNotNull())
 
     def counts(last: Column) -> Column:
-        def minus(i: Column) -> Column:  # codes 2 i (plus) and 2 i + 1 (minus)
+        def minus(i: Column) -> Column:  # ends 2 i (plus) and 2 i + 1 (minus)
             before = F.coalesce(F.get(last, 2 * i - 1), F.lit(-1))
             return (F.get(last, 2 * i) - before) - (F.get(last, 2 * i + 1) - F.get(last, 2 * i))
 
         return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), minus)
 
-    words = vx.let(lower_tokens(F.coalesce(text, F.lit(""))), grams)
-    every = F.sequence(F.lit(0).cast("long"), F.lit(2 * dim - 1).cast("long"))
-    codes = F.array_sort(F.concat(F.transform(words, code), every))
-    return vx.let(vx.let(codes, ends), counts)
+    every = F.concat(*[F.sequence(F.lit(sign), F.lit(16 * dim - 16 + sign), F.lit(16)).cast("array<long>") for sign in (0, 1)])
+    codes = vx.let(lower_tokens(F.coalesce(text, F.lit(""))), coded)
+    return vx.let(vx.let(F.sort_array(codes), ends), counts)
 
 
 def embed(df: DataFrame, encoder=None, dim: int = 384, text: str = "text", out: str = "embedding") -> DataFrame:

@@ -1,6 +1,7 @@
 """Sources, event windows, interpretation and streaming on small fixtures."""
 
 import datetime as dt
+import hashlib
 import zipfile
 
 import numpy as np
@@ -195,6 +196,22 @@ def test_embedding_is_unit_length_and_pluggable(spark):
     assert fixed == pytest.approx([0.6, 0.8])
 
 
+def test_hashed_counts_take_one_number_per_gram(spark):
+    """One conversion per token and pair and a sort by natural order; values against MD5 in Python, also of few places."""
+    texts = [None, "", "One", "a b  A b", "x " * 300 + "y", "\u00e9t\u00e9 \u00c9T\u00c9\u2003z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for dim in (1, 7, 64, 384):
+        out = df.select("id", cp.hashed_counts(F.col("text"), dim).alias("n"))
+        for row in out.collect():
+            words, want = (texts[row["id"]] or "").lower().split(), [0] * dim
+            for gram in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+                h = hashlib.md5(gram.encode()).hexdigest()
+                want[int(h[:8], 16) % dim] += -1 if int(h[8], 16) % 2 else 1
+            assert row["n"] == want
+    plan = spark.range(1).select(cp.hashed_counts(F.col("id").cast("string"), 64).alias("n"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("conv(") == 2 and "array_sort(" not in plan
+
+
 def test_sampler_is_independent_of_partitions(spark):
     df = spark.range(3000).select(
         F.concat(F.lit("f"), F.floor(F.col("id") / 10)).alias("accession_number"), F.lit("item1").alias("item_type"),
