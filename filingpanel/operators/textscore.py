@@ -6,8 +6,12 @@ expressions on them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
@@ -15,6 +19,7 @@ from ..functions import vectors as vx
 from ..functions.durable import durable
 from ..functions.quantiles import exact_quantiles
 from ..functions.sampling import hash_rank, lowest_ranked
+from ..functions.sides import measured
 from .prepare import first_per_key
 
 SENTENCE_KEY = ["accession_number", "sentence_id", "item_type"]
@@ -159,7 +164,7 @@ def word_counts(words: Column) -> Column:
         return vx.let(last, lambda ends: F.transform(ends, lambda end, j: F.struct(
             F.get(w, end).alias("token"), (end - F.coalesce(F.get(ends, j - 1), F.lit(-1))).alias("n"))))
 
-    return vx.let(F.array_sort(words), counted)
+    return vx.let(F.sort_array(words), counted)
 
 
 def hot_keys(per_key: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
@@ -169,23 +174,89 @@ def hot_keys(per_key: DataFrame, keys: list[str], share: int = HOT_SHARE) -> Dat
     return per_key.where(F.col("n_rows") * share > whole).select(*keys, F.ceil(F.col("n_rows") * share / whole).cast("int").alias("salts"))
 
 
+BLOCK_WORDS = 1 << 18  # words of the sentences that share one dictionary
+
+
+def _typed(df: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def word_blocks(df: DataFrame, words: str = "words", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``block, dictionary, sentences``: sentences in blocks of about ``block_words`` words, each distinct (cik, year, token) once.
+
+    ``words`` holds (token, n) per sentence; a sentence has the places of its words in the ``dictionary`` of the block, with
+    ``n``.  Sentences of a firm and year come together as far as that leaves parts of equal size (a firm-year that is too
+    large for one is split by adaptive execution), which keeps the dictionaries small; blocks are right however they are dealt.
+    """
+    kept = [*SENTENCE_KEY, "cik", "year"]
+    rows = df.select(*kept, F.col(words)["token"].alias("token"), F.col(words)["n"].cast("array<int>").alias("n"))
+    rows = rows.hint("rebalance", F.col("cik"), F.col("year")).sortWithinPartitions("cik", "year")
+    schema = (f"block long, dictionary array<struct<{_typed(df, ['cik', 'year'])}, token string, c long>>, "
+              f"sentences array<struct<{_typed(df, kept)}, places array<int>, n array<int>>>")
+
+    def listed(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    def block(part: pa.Table, number: int) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        lists = part.column("token").combine_chunks()
+        flat, length = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        token, n = flat.dictionary_encode(), part.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        group = np.zeros(len(part), np.int64)
+        for c in ("cik", "year"):
+            codes = part.column(c).combine_chunks().dictionary_encode()
+            group = group * len(codes.dictionary) + codes.indices.to_numpy(zero_copy_only=False)
+        code = np.repeat(group, length) * len(token.dictionary) + token.indices.to_numpy(zero_copy_only=False)
+        _, first, place = np.unique(code, return_index=True, return_inverse=True)
+        sentence = pa.array(np.repeat(np.arange(len(part)), length)[first])
+        named = [part.column(c).combine_chunks().take(sentence) for c in ("cik", "year")]
+        total = pa.array(np.bincount(place, n, len(first)).astype(np.int64))
+        dictionary = pa.StructArray.from_arrays([*named, flat.take(pa.array(first)), total], ["cik", "year", "token", "c"])
+        at = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+        sentences = pa.StructArray.from_arrays(
+            [*[part.column(c).combine_chunks() for c in kept], pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32))),
+             pa.ListArray.from_arrays(at, pa.array(n))], [*kept, "places", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([number]), listed(dictionary), listed(sentences)], ["block", "dictionary", "sentences"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:  # sentences without words go here: a filter before would count the words twice
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("token")), 0))
+            ends = np.cumsum(pc.list_value_length(batch.column("token")).to_numpy(zero_copy_only=False))
+            start, done = 0, 0
+            while start < batch.num_rows:
+                stop = min(int(np.searchsorted(ends, done + block_words - size)) + 1, batch.num_rows)
+                held.append(batch.slice(start, stop - start))
+                size, start, done = size + int(ends[stop - 1]) - done, stop, int(ends[stop - 1])
+                if size >= block_words:
+                    yield block(pa.Table.from_batches(held), number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield block(pa.Table.from_batches(held), number)
+
+    return rows.mapInArrow(run, schema)
+
+
 def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> DataFrame:
     """Mean, sum or maximum of -log P(token | earlier years of the same firm), smoothed unigrams.
 
     P = (count before + alpha) / (tokens before + alpha * V), V = distinct tokens
-    of the whole table.  The text is counted once, into a stored table of words per
-    sentence.  Counts per (firm, token, year) are aggregated before any window; the
-    windows run over years of one (firm, token) or of one firm.  Their exact counts
-    name the heavy hitters, such as a common word of a firm with a third of all
-    rows; these meet their probability in several parts.
+    of the whole table.  The text is counted once, into a stored table of blocks of
+    sentences with a dictionary each.  Only dictionaries are counted, joined with
+    their probabilities and gathered again, one row per block, so rows of single
+    words are never shuffled.  Counts per (firm, token, year) are aggregated before
+    any window; the windows run over years of one (firm, token) or of one firm.
+    Their exact counts name the heavy hitters, words of a firm-year with many blocks;
+    these meet their probability in several parts.
     """
     if agg not in ("mean", "sum", "max"):
         raise ValueError(f"unknown aggregation {agg}")
-    key = ["cik", "token", "year"]
+    key = ["token", "cik", "year"]
     known = df.where(F.col("cik").isNotNull() & F.col("year").isNotNull())
-    tok = durable(known.select(*SENTENCE_KEY, "cik", "year", F.inline(word_counts(tx.lower_tokens(F.col("text"))))))
-    per_year = durable(tok.groupBy(*key).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("n_rows")))
-    w_tok = Window.partitionBy("cik", "token").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = durable(word_blocks(known.select(*SENTENCE_KEY, "cik", "year", word_counts(tx.lower_tokens(F.col("text"))).alias("words"))))
+    entries = blocks.select("block", F.posexplode("dictionary").alias("place", "_d")).select("block", "place", "_d.*")
+    per_year = durable(entries.groupBy(*key).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n_rows")))
+    w_tok = Window.partitionBy("token", "cik").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     earlier = per_year.withColumn("before", F.coalesce(F.sum("c").over(w_tok), F.lit(0)))
     w_firm = Window.partitionBy("cik").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     totals = per_year.groupBy("cik", "year").agg(F.sum("c").alias("c")).select(
@@ -193,17 +264,26 @@ def surprisal_novelty(df: DataFrame, agg: str = "mean", alpha: float = 1.0) -> D
     )
     vocab = per_year.select("token").distinct().agg(F.count("*").alias("v")).scalar()
     hot = F.broadcast(durable(hot_keys(per_year, key)))  # fewer than HOT_SHARE rows
-    prior = durable(earlier.join(totals, ["cik", "year"]).join(hot, key, "left").select(
+    prior = earlier.join(measured(totals), ["cik", "year"]).join(hot, key, "left").select(
         *key, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("_salt"),
         (-F.log((F.col("before") + alpha) / (F.col("total_before") + alpha * vocab))).alias("info"),
-    ))
-    dealt = tok.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*SENTENCE_KEY), F.col("salts")).cast("int")))
-    total = F.sum(F.col("info") * F.col("n"))
-    value = {"mean": total / F.sum("n"), "sum": total, "max": F.max("info")}[agg]
-    return dealt.join(prior, [*key, "_salt"]).groupBy(*SENTENCE_KEY, "cik", "year").agg(
-        F.sum("n").cast("long").alias("n_tokens"), value.alias("novelty_surprisal")
     )
+    dealt = entries.drop("c").join(hot, key, "left").withColumn(
+        "_salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("block"), F.col("salts")).cast("int")))
+    infos = dealt.join(prior, [*key, "_salt"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "info")))["info"].alias("infos"))
+
+    def of_words(s: Column) -> Column:
+        if agg == "max":
+            return F.array_max(F.transform(s["places"], lambda i: F.get("infos", i)))
+        products = F.zip_with(s["places"], s["n"], lambda i, n: F.get("infos", i) * n)
+        return F.aggregate(products, F.lit(0.0), lambda t, x: t + x)
+
+    kept = [*SENTENCE_KEY, "cik", "year"]
+    scored = blocks.select("block", "sentences").join(infos, "block").select(F.inline(F.transform("sentences", lambda s: F.struct(
+        *[s[c].alias(c) for c in kept], F.aggregate(s["n"], F.lit(0).cast("long"), lambda t, x: t + x).alias("n"), of_words(s).alias("info")))))
+    total = F.sum("info")
+    value = {"mean": total / F.sum("n"), "sum": total, "max": F.max("info")}[agg]
+    return scored.groupBy(*kept).agg(F.sum("n").cast("long").alias("n_tokens"), value.alias("novelty_surprisal"))
 
 
 def attention_relevance(

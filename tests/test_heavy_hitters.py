@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from filingpanel.functions import text as tx
 from filingpanel.operators import sampling as sp, textscore as ts
 
 SCHEMA = "accession_number string, sentence_id int, item_type string, cik long, year int, text string"
@@ -59,6 +60,38 @@ def test_hot_keys_are_dealt_evenly(spark):
     assert len(sizes) == 40 and sizes[-1] <= 4 * sizes[20]
 
 
+def test_words_are_not_shuffled_one_by_one(spark):
+    """Blocks of any size hold every sentence and count once; the text is counted once, and no stored row is that of a single word."""
+    rows = sentences()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).where("cik IS NOT NULL AND year IS NOT NULL")
+    counted = df.select(*ts.SENTENCE_KEY, "cik", "year", ts.word_counts(tx.lower_tokens(F.col("text"))).alias("words"))
+    plan = ts.word_blocks(counted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    for size in (1, 100, 1 << 18):
+        blocks = ts.word_blocks(counted, block_words=size).collect()
+        assert len({b.block for b in blocks}) == len(blocks) and (size > 100 or len(blocks) > 9)
+        words, got = Counter(), {}
+        for b in blocks:
+            assert len({(d.cik, d.year, d.token) for d in b.dictionary}) == len(b.dictionary)
+            words.update({(d.cik, d.year, d.token): d.c for d in b.dictionary})
+            for s in b.sentences:
+                assert all((b.dictionary[i].cik, b.dictionary[i].year) == (s.cik, s.year) for i in s.places)
+                got[s.accession_number, s.sentence_id] = Counter({b.dictionary[i].token: n for i, n in zip(s.places, s.n)})
+        known = [r for r in rows if r[3] is not None and r[4] is not None and (r[5] or "").split()]
+        assert got == {r[:2]: Counter(r[5].lower().split()) for r in known}
+        assert words == sum((Counter((r[3], r[4], w) for w in r[5].lower().split()) for r in known), Counter())
+
+
+@pytest.mark.parametrize("agg", ["mean", "sum", "max"])
+def test_repeated_and_incomplete_sentence_keys(spark, agg):
+    rows = [("a", 0, "item1", 1, 2001, "x y"), ("a", 0, "item1", 1, 2001, "x y x z"), (None, None, None, 1, 2002, "x q"), ("b", 1, "item1", 2, 2002, " ")]
+    got = {r.accession_number: r for r in ts.surprisal_novelty(spark.createDataFrame(rows, SCHEMA), agg).collect()}
+    one, two = [-math.log(1 / 4)] * 6, [-math.log(4 / 10), -math.log(1 / 10)]
+    value = {"mean": lambda v: sum(v) / len(v), "sum": sum, "max": max}[agg]
+    assert set(got) == {"a", None} and (got["a"].n_tokens, got[None].n_tokens) == (6, 2)
+    assert got["a"].novelty_surprisal == pytest.approx(value(one)) and got[None].novelty_surprisal == pytest.approx(value(two))
+
+
 def test_word_counts(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],), (["q"] * 500 + ["p"],)], "w array<string>")
     got = [{r.token: r.n for r in row[0]} for row in df.select(ts.word_counts(F.col("w"))).collect()]
