@@ -28,9 +28,10 @@ from pyspark.sql.types import StructType
 
 FORMAT = "filing_archive"
 SCHEMA = "archive string, path string, content binary, error string"
+TEXT_SCHEMA = SCHEMA.replace("content binary", "text string")
 MEMBER_BYTES, MEMBERS = 64 << 20, 100_000  # packed bytes and members of one task
 ARCHIVE_BYTES = 1 << 30  # packed bytes of one written archive
-BATCH_BYTES, READ_BYTES = 8 << 20, 4 << 20
+BATCH_BYTES, BATCH_ROWS, READ_BYTES = 8 << 20, 20_000, 4 << 20
 # Fixed values of the format: signatures and sizes of its records, the marker for a field that is in the 64-bit extension.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 END_SIZE, END64_SIZE, LOCATOR64_SIZE, ENTRY_SIZE, LOCAL_SIZE, MAX_COMMENT = 22, 56, 20, 46, 30, 0xFFFF
@@ -57,7 +58,7 @@ class Window:
         return self.held[start:start + n]
 
 
-@dataclass
+@dataclass(slots=True)
 class Member:
     """One entry of a central directory; ``width``: bytes that it takes there."""
 
@@ -185,6 +186,7 @@ class ArchiveReader(DataSourceReader):
         if not options.get("path"):
             raise ValueError("give the folder or the archive as path")
         self.path, self.suffix = options["path"], options.get("suffix", "")
+        self.text = options.get("text", "false").lower() == "true"
         self.member_bytes, self.members = int(options.get("memberbytes", MEMBER_BYTES)), int(options.get("members", MEMBERS))
 
     def archives(self) -> list[str]:
@@ -225,18 +227,21 @@ class ArchiveReader(DataSourceReader):
                     content, error = inflated(window, member, partition.shift), None
                 except (ValueError, EOFError, OSError, struct.error, zlib.error) as e:
                     content, error = None, str(e) or type(e).__name__
-                rows.append((partition.archive, member.name, content, error))
                 held += len(content or b"")
-                if held >= BATCH_BYTES:
-                    yield _batch(rows)
+                if self.text and content is not None:
+                    content = content.decode("utf-8", "ignore")
+                rows.append((partition.archive, member.name, content, error))
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield _batch(rows, self.text)
                     rows, held = [], 0
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, self.text)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.binary(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["archive", "path", "content", "error"])
+def _batch(rows: list[tuple], text: bool = False) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string() if text else pa.binary(), pa.string()]
+    names = ["archive", "path", "text" if text else "content", "error"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 @dataclass
@@ -273,7 +278,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                 member = zipfile.ZipInfo(name.as_py())  # of the same date, so equal rows give equal bytes
                 member.compress_type = zipfile.ZIP_DEFLATED
                 archive.writestr(member, content.as_py() if content.is_valid else b"")
-                if archive.start_dir >= self.archive_bytes:
+                if archive.start_dir >= self.archive_bytes or len(archive.filelist) >= MEMBERS:  # the list is kept until the end
                     close()
                     archive = None
         if archive is not None:
@@ -303,7 +308,7 @@ class FilingArchive(DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return SCHEMA
+        return TEXT_SCHEMA if self.options.get("text", "false").lower() == "true" else SCHEMA
 
     def reader(self, schema: StructType) -> ArchiveReader:
         return ArchiveReader(dict(self.options))
@@ -314,13 +319,16 @@ class FilingArchive(DataSource):
         return ArchiveWriter(dict(self.options), overwrite)
 
 
-def read_members(spark: SparkSession, path: str, suffix: str = ".txt", member_bytes: int = MEMBER_BYTES, members: int = MEMBERS) -> DataFrame:
+def read_members(spark: SparkSession, path: str, suffix: str = ".txt", member_bytes: int = MEMBER_BYTES, members: int = MEMBERS,
+                 text: bool = False) -> DataFrame:
     """``archive, path, content, error`` per member whose name ends in ``suffix``, of one archive or all archives in a folder.
 
     A folder without archives, and an archive without such members, give no rows. Names that occur twice give two rows.
+    ``text`` gives a column ``text`` instead of ``content``, decoded where it is inflated: no second Python process has to hold it.
     """
     spark.dataSource.register(FilingArchive)
-    return (spark.read.format(FORMAT).option("suffix", suffix).option("memberBytes", member_bytes).option("members", members).load(path))
+    reader = spark.read.format(FORMAT).option("suffix", suffix).option("memberBytes", member_bytes).option("members", members)
+    return reader.option("text", text).load(path)
 
 
 def write_archives(df: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, overwrite: bool = False) -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import strip
@@ -72,12 +71,5 @@ def read_filing_archives(spark: SparkSession, path: str, item_type: str, member_
     The members of an archive are dealt to tasks by about ``member_bytes`` of packed text; those that cannot be read
     (``archive.read_members`` tells why) and empty ones are left out.
     """
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], ["path", "text"])
-
-    members = archive.read_members(spark, path, ".txt", member_bytes).where("error IS NULL")
-    named = members.select(F.concat(F.lit("/"), F.col("path")).alias("path"), "content")
-    return _as_documents(named.mapInArrow(decode, "path string, text string"), item_type)
+    members = archive.read_members(spark, path, ".txt", member_bytes, text=True).where("error IS NULL")
+    return _as_documents(members.select(F.concat(F.lit("/"), F.col("path")).alias("path"), "text"), item_type)

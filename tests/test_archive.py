@@ -3,11 +3,13 @@
 import io
 import random
 import struct
+import types
 import zipfile
 
+import pyarrow as pa
 import pytest
 
-from filingpanel.sources import archive
+from filingpanel.sources import archive, filings
 
 
 def make(path, members, prefix=b"", comment=b"", wide=False):
@@ -127,3 +129,26 @@ def test_a_lost_attempt_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         archive.write_archives(df, str(tmp_path / "out"))
     assert archive.read_members(spark, str(tmp_path / "out"), "").count() == 0
+
+
+def test_texts_are_decoded_where_they_are_inflated(spark, tmp_path):
+    """One Python process per task reads filings; bytes that are not UTF-8 are ignored, long directories come in several batches."""
+    odd = [("a/2001/1-1.txt", b"\xff\xfea\xc3\xa9\xed\xa0\x80b\xc3", 8), ("a/2001/2-1.txt", "\ufffd \U0001f600 x".encode(), 0), ("a/2001/3-1.txt", b" \n", 8)]
+    make(tmp_path / "one.zip", odd)
+    docs = filings.read_filing_archives(spark, str(tmp_path), "item1")
+    assert {r.accession_number: r.text for r in docs.collect()} == {"1-1": "a\u00e9b", "2-1": "\ufffd \U0001f600 x"}
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "InPandas" not in plan
+    texts = {r.path: r.text for r in archive.read_members(spark, str(tmp_path), text=True).collect()}
+    assert texts == {n: c.decode("utf-8", "ignore") for n, c, _ in odd}
+
+
+def test_written_archives_are_bounded_by_members(spark, tmp_path, monkeypatch):
+    """The list of members that a writer keeps does not grow with its task."""
+    monkeypatch.setattr(archive, "MEMBERS", 7)
+    batch = pa.RecordBatch.from_pydict({"path": [f"{i}.txt" for i in range(20)], "content": ["x"] * 20})
+    monkeypatch.setattr(archive.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    writer = archive.ArchiveWriter({"path": str(tmp_path)}, False)
+    writer.commit([writer.write(iter([batch]))])
+    sizes = [len(zipfile.ZipFile(f).namelist()) for f in tmp_path.glob("*.zip")]
+    assert sorted(sizes) == [6, 7, 7]
