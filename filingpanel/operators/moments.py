@@ -21,6 +21,7 @@ from .concepts import matrix
 
 _FLUSH_BYTES = 256 << 20  # partial matrices held per task before they are passed on
 MAX_COLLECT_BYTES = 1 << 30  # all matrices of a fit on the driver
+SUM_COLUMNS = 8  # up to so many columns, constant and y included, many groups are plain sums
 
 
 @dataclass
@@ -127,6 +128,19 @@ def moments(
     )
 
 
+def moments_of_many(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str], shift: np.ndarray) -> DataFrame:
+    """``moments`` for groups that may hold few rows each, such as clusters: with few columns one built-in sum per product,
+    combined before the shuffle, so no step is done group by group."""
+    p = len(xs) + 2
+    if p > SUM_COLUMNS:
+        return moments(df, xs, y, by, shift)
+    moved = [F.lit(1.0), *[_number(c) - float(s) for c, s in zip([*xs, y], shift)]]
+    complete = df.dropna(subset=[*xs, y]).select(*by, *[c.alias(f"_a{i}") for i, c in enumerate(moved)])
+    sums = complete.groupBy(*by).agg(*[F.sum(F.col(f"_a{i}") * F.col(f"_a{j}")).alias(f"_m{i}_{j}") for i in range(p) for j in range(i, p)])
+    rows = [F.struct(F.lit(i).alias("i"), F.array(*[F.col(f"_m{min(i, j)}_{max(i, j)}") for j in range(p)]).alias("row")) for i in range(p)]
+    return sums.select(*by, F.inline(F.array(*rows)))
+
+
 def fit_moments(
     df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (), shift: np.ndarray | None = None,
     weight: Callable[[np.ndarray], np.ndarray] | None = None,

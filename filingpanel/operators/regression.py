@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import tails, vectors as vx
 from ..functions.durable import durable
-from .moments import Moments, column_means, fit_moments, moments, total
+from .moments import Moments, column_means, fit_moments, moments_of_many, total
 from .sampling import kfold
 
 
@@ -124,7 +124,7 @@ def ols(
     per_cluster = None
     if cluster and len(xs) <= ONE_PASS_COLUMNS:
         shift = column_means(data, [*xs, y])
-        per_cluster = durable(moments(data, xs, y, [cluster], shift))
+        per_cluster = durable(moments_of_many(data, xs, y, [cluster], shift))
         m = _summed(per_cluster, shift)
     else:
         m = fit_moments(data, xs, y).get(())

@@ -62,6 +62,25 @@ def test_ols(frame, data, cov):
     assert fit.r2 == pytest.approx(1 - e @ e / ((y - y.mean()) ** 2).sum())
 
 
+def test_moments_of_many_clusters_are_not_made_one_by_one(spark):
+    """Few columns: built-in sums, no Python; the same rows as the matrix products, also with more columns and without complete rows."""
+    rows = [(i, None if i % 11 == 0 else i // 3, i % 5 / 3, None if i % 7 == 0 else float(i % 13), float("nan") if i % 17 == 0 else i % 4 * 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, cik long, y double, x1 double, x2 double").repartition(5)
+    wide = df.select("cik", "y", "x1", *[(F.col("x2") * i + F.col("id") % (i + 2)).alias(f"x{i}") for i in range(2, 9)])
+
+    def table(t):
+        return {(r["cik"], r["i"]): np.array(r["row"]) for r in t.collect()}
+
+    for frame, xs in ((df, ["x1", "x2"]), (df, ["x1"]), (wide, [f"x{i}" for i in range(1, 9)])):
+        shift = np.arange(len(xs) + 1) / 4
+        few = mo.moments_of_many(frame, xs, "y", ["cik"], shift)
+        got, want = table(few), table(mo.moments(frame, xs, "y", ["cik"], shift))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12, atol=1e-9) for k in want)
+        assert mo.moments_of_many(frame.limit(0), xs, "y", ["cik"], shift).count() == 0
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert ("InArrow" in plan) == (len(xs) + 2 > mo.SUM_COLUMNS)
+
+
 def test_nested_f_and_joint_test_agree_for_classic_errors(spark, frame):
     cmp = rg.compare_models(frame, ["y"], XS[:2], XS[2:]).first()
     joint = rg.joint_f_test(spark, rg.ols(frame, "y", XS, cov="classic"), XS[2:]).first()
