@@ -9,15 +9,19 @@ whose gram occurs elsewhere: consecutive strings with one anchor share one *cont
    a loser tree that knows the common prefixes, and the common prefixes to the right together with those to the left
    (bytes before the anchor, backwards) tell which offsets repeat.
 3. The repeated strings are united per text and cut out.
+
+Passages too short for ``length`` bytes are not removed; ``shared_prints`` tells by winnowing which texts have one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, drop_staged, id_text, slices, staged
 
 LENGTH, GRAM = 400, 100
+PASSAGE_WORDS, PRINT_WORDS = 50, 30
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SLICE_BYTES = 2 << 20
 BLOCK = 1 << 18  # string starts that are worked on together
 RUN_BYTES, BUCKET_CONTEXTS, HOT_CONTEXTS, MATRIX = 4 << 20, 6_000, 20_000, 1 << 18
@@ -395,17 +401,72 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _word_hashes(text: bytes) -> np.ndarray:
+    words, out = (m[0] for m in WORD.finditer(text)), [np.empty(0, np.uint64)]
+    while part := list(islice(words, BLOCK)):
+        out.append(pd.util.hash_array(np.array(part, object), categorize=False))
+    return np.concatenate(out)
+
+
+def word_prints(texts: list[bytes], passage: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash, each once, of the ``words``-word strings with the smallest hash in some ``passage`` words
+    of a text. White space between the words does not count."""
+    hashes = [_word_hashes(t) for t in texts]
+    owner, word = np.repeat(np.arange(len(texts)), [len(h) for h in hashes]), np.concatenate(hashes)
+    if len(word) < passage:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    count = len(word) - words + 1
+    grams = np.zeros(count, np.uint64)
+    for i in range(words):
+        grams = grams * np.uint64(MULTIPLIER) + word[i:i + count]
+    least = np.lib.stride_tricks.sliding_window_view(_mix(grams), passage - words + 1).min(axis=1)
+    inside = owner[:len(least)] == owner[passage - 1:]
+    owner, least = owner[:len(least)][inside], least[inside]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1]))[:len(owner)]
+    once = pd.DataFrame({"owner": owner[new], "print": least[new].view(np.int64)}).drop_duplicates()
+    return once["owner"].to_numpy(), once["print"].to_numpy()
+
+
+def shared_prints(docs: DataFrame, passage: int = PASSAGE_WORDS, words: int = PRINT_WORDS) -> DataFrame:
+    """``text_key`` (MD5 of the text) and ``n_shared``: its prints that another row has too. Texts without have no row.
+
+    Two rows with the same ``passage`` consecutive words choose the same print in them, so both have a row here; a text
+    that has no ``words`` consecutive words in common with another row has none. Columns of ``docs``: text (not null).
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        for batch in slices(batches, "text", SLICE_BYTES):
+            texts, keys = [], []
+            for t in as_bytes(batch.column("text")):
+                k = hashlib.md5(t).digest()
+                seen[k] += 1
+                if seen[k] <= 2:  # twice is enough to know that all of it is shared
+                    texts.append(t), keys.append(k)
+            if texts:
+                owner, prints = word_prints(texts, passage, words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()).take(pa.array(owner)), pa.array(prints, pa.int64())], ["text_key", "print"])
+
+    found = staged(docs.select("text").mapInArrow(run, "text_key binary, print long"), "prints")
+    again = found.groupBy("print").count().where("count > 1").select("print")
+    shared = staged(found.join(again, "print").groupBy("text_key").agg(F.count_distinct("print").alias("n_shared")), "shared-prints")
+    drop_staged(found)
+    return shared
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes).
+    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes), ``n_shared`` (see
+    ``shared_prints``; nothing is removed for it).
 
     Null text is empty; texts shorter than ``length`` have nothing to remove; repeated rows and equal texts repeat each
     other; null ids pass through. An empty table gives an empty result.
     """
     base = id_text(docs, id_col, text_col)
-    spans = repeats(base, length, gram, hot_contexts).withColumnRenamed("text_key", "_key")
+    spans = repeats(base, length, gram, hot_contexts).join(shared_prints(base), "text_key", "full").withColumnRenamed("text_key", "_key")
     keyed = base.withColumn("text_key", F.unhex(F.md5("text")))
-    joined = keyed.join(spans, F.col("text_key") == F.col("_key"), "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, F.col("text_key") == F.col("_key"), "left").select(
+        "doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -416,8 +477,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_con
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 sizes.append(len(text)), removed.append(len(text) - len(kept[-1])), counts.append(len(cut))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.binary()),
+                 batch.column("n_shared")],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long")
