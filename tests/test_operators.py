@@ -175,6 +175,56 @@ def test_replica_similarity_ignores_blocks(spark, monkeypatch):
         assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in expect.items())
 
 
+def test_replica_similarity_is_exact_among_near_copies(spark, monkeypatch):
+    """Vectors that single precision cannot tell apart, in many parts, with repeated neurons and replicas of other sizes."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=8)
+    w = [(i, j % 40, base * (1 + r.random()) + 1e-6 * r.normal(size=8)) for i, n in ((0, 60), (2, 90), (7, 1)) for j in range(n)]
+    rows = [(32, 4, i, j, [float(v) for v in x]) for i, j, x in w]
+    df = spark.createDataFrame(rows, "M int, k int, replica int, neuron int, w_dec array<double>")
+    expect = {}
+    for i, n, x in w:
+        for j in {0, 2, 7} - {i}:
+            s = max(float(x @ y) / ((np.linalg.norm(x) + 1e-8) * (np.linalg.norm(y) + 1e-8)) for other, _, y in w if other == j)
+            expect[i, j, n] = max(s, expect.get((i, j, n), -1))
+    for block, values in ((512, 1 << 21), (16, 1 << 21), (16, 100)):
+        monkeypatch.setattr(sb, "_BLOCK", block)
+        monkeypatch.setattr(sb, "_VALUES", values)
+        got = {(x["i"], x["j"], x["neuron"]): x["similarity"] for x in sb.replica_similarity(df).collect()}
+        assert got.keys() == expect.keys()
+        assert all(abs(got[k] - v) < 1e-14 for k, v in expect.items())
+
+
+def test_replica_similarity_of_null_vectors_and_a_single_replica(spark):
+    """As in SQL: what is null matches nothing and has no similarity; NaN is passed on; no replica matches itself."""
+    nan = float("nan")
+    rows = [(8, 4, 0, 0, [1.0, 0.0]), (8, 4, 0, 1, None), (8, 4, 1, 0, None), (8, 4, 1, 1, [0.6, 0.8]), (8, 4, 1, None, [0.0, 2.0]),
+            (8, 4, None, 5, [1.0, 0.0]), (9, 4, 0, 0, [1.0]), (10, 4, 0, 0, [1.0]), (10, 4, 1, 0, None), (11, 4, 0, 0, [nan]),
+            (11, 4, 0, 1, [1.0]), (11, 4, 1, 0, [1.0])]
+    df = spark.createDataFrame(rows, "M int, k int, replica int, neuron int, w_dec array<double>")
+    got = {(x["M"], x["i"], x["neuron"]): x["similarity"] for x in sb.replica_similarity(df).collect()}
+    some = {k: v for k, v in got.items() if v is not None and v == v}
+    assert some == pytest.approx({(8, 0, 0): 0.6, (8, 1, 1): 0.6, (8, 1, None): 0.0, (11, 0, 1): 1.0}, abs=1e-7)
+    assert {k for k, v in got.items() if v is None} == {(8, 0, 1), (8, 1, 0), (10, 0, 0), (10, 1, 0)}
+    assert {k for k, v in got.items() if v is not None and v != v} == {(11, 0, 0), (11, 1, 0)}
+
+
+def test_replicas_meet_in_many_tasks_and_once(spark):
+    """The work does not depend on the number of replicas, and the summary does not repeat it for each of its figures."""
+    n = 9000
+    df = spark.range(2 * n).select(
+        F.lit(64).alias("M"), F.lit(4).alias("k"), (F.col("id") % 2).cast("int").alias("replica"), F.floor(F.col("id") / 2).cast("int").alias("neuron"),
+        F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * i)).alias("w_dec"))
+    pairs = sb._pairs_of_parts(df)
+    tasks = pairs.groupBy(*sb._PAIR).agg(F.count_if("left").alias("x"), F.count_if(~F.col("left")).alias("y")).collect()
+    assert len(tasks) == 25 and sum(t["x"] * t["y"] for t in tasks) == n * n
+    assert max(max(t["x"], t["y"]) for t in tasks) < 2100
+    out = sb.stability_summary(df, sb.replica_similarity(df), 0.3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "InPandas" not in plan
+    assert out.first()["n_features_total"] == n
+
+
 def test_stable_activations_need_a_stable_feature(spark):
     models = spark.createDataFrame([], "M int, k int, replica int, neuron int, w_enc array<double>, b double, w_dec array<double>")
     with pytest.raises(ValueError):
